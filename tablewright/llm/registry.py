@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .fertility import op8_fertility
 from .pii import op4_pii
 from .secret_scan import op6_secrets
 
 QUERIES = {
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
+    "op8_fertility": op8_fertility,
 }
 ORACLE_SQL: dict[str, str] = {}
