@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .fertility import op8_fertility
 from .pii import op4_pii
+from .quality import op3_quality
 from .secret_scan import op6_secrets
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
     "op8_fertility": op8_fertility,
