@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import op2_decontaminate
 from .fertility import op8_fertility
 from .pii import op4_pii
 from .quality import op3_quality
 from .secret_scan import op6_secrets
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op6_secrets": op6_secrets,
