@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontam import op2_decontaminate
 from .fertility import op8_fertility
+from .mixing import ORACLE as MIX_SQL
+from .mixing import op5_mix
 from .pii import op4_pii
 from .quality import op3_quality
 from .secret_scan import op6_secrets
@@ -12,7 +14,10 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
+    "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
     "op8_fertility": op8_fertility,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mix": MIX_SQL,
+}
