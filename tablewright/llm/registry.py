@@ -9,6 +9,7 @@ from .mixing import op5_mix
 from .pii import op4_pii
 from .quality import op3_quality
 from .secret_scan import op6_secrets
+from .url_filter import op7_url_rules
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
+    "op7_url_rules": op7_url_rules,
     "op8_fertility": op8_fertility,
 }
 ORACLE_SQL: dict[str, str] = {
