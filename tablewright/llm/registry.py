@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op2_decontaminate
 from .fertility import op8_fertility
+from .line_dedup import op10_line_dedup
 from .mixing import ORACLE as MIX_SQL
 from .mixing import op5_mix
 from .pii import op4_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_url_rules": op7_url_rules,
     "op8_fertility": op8_fertility,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_mix": MIX_SQL,
