@@ -7,6 +7,8 @@ from .fertility import op8_fertility
 from .line_dedup import op10_line_dedup
 from .mixing import ORACLE as MIX_SQL
 from .mixing import op5_mix
+from .ngram_join import ORACLE as JACCARD_SQL
+from .ngram_join import op9_ngram_jaccard
 from .pii import op4_pii
 from .quality import op3_quality
 from .secret_scan import op6_secrets
@@ -20,8 +22,10 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_url_rules": op7_url_rules,
     "op8_fertility": op8_fertility,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_mix": MIX_SQL,
+    "op9_ngram_jaccard": JACCARD_SQL,
 }
