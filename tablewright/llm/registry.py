@@ -12,9 +12,11 @@ from .ngram_join import op9_ngram_jaccard
 from .pii import op4_pii
 from .quality import op3_quality
 from .secret_scan import op6_secrets
+from .substring_dedup import op1_substring_dedup
 from .url_filter import op7_url_rules
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
