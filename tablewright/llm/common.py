@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +70,33 @@ def pa_schema(ddl: str) -> pa.Schema:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Stands for a null id in keys; it comes first.
+NO_ID = -(1 << 63)
+
+
+def key_columns() -> list[Column]:
+    """The key of a row of documents: d, its id (NO_ID for null), and t, a hash of its text."""
+    text = F.col("text").cast("string")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, d, t): all columns of a row as one, so that no name of theirs can clash, and its key."""
+    return docs.select(F.struct("*").alias("row"), *key_columns())
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``dropped`` (d, t); the texts stream past the keys."""
+    return keyed(docs).join(dropped.select("d", "t").hint("shuffle_hash"), ["d", "t"], "left_anti").select("row.*")
+
+
+def filter_batches(docs: DataFrame, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, of which ``keep`` says True by their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text, map_batches, pa_schema, table
+from .common import NO_ID, Scratch, key_columns, map_batches, pa_schema, table, without
 
 WINDOW = 10
 SHINGLE = 5
 BLOCK = 200_000
 #: On bytes, lower() changes A-Z alone, and every byte of a non-ASCII character is 0x80 or more.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SPANS = "doc_id long, n_words int, place array<int>, shingle array<int>, begins array<int>, ends array<int>, items array<long>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
+SPANS = "doc_id long, t long, n_words int, place array<int>, shingle array<int>, begins array<int>, ends array<int>, items array<long>"
+RESULT = "doc_id long, t long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -136,7 +136,8 @@ def occurrences(docs: DataFrame, blocks: Callable[[], Iterator[Index]]) -> DataF
     """Step 1: (doc_id, n_words, place, shingle) of every document, for all blocks."""
     sc = docs.sparkSession.sparkContext
     empty = F.array().cast("array<int>")
-    df = id_and_text(docs).select("doc_id", "text", F.lit(0).alias("n_words"), empty.alias("place"), empty.alias("shingle"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key_columns()[1])
+    df = read.select("doc_id", "t", "text", F.lit(0).alias("n_words"), empty.alias("place"), empty.alias("shingle"))
     for index in blocks():
         finder = sc.broadcast(Finder(index.vocabulary, index.shingles))
 
@@ -150,7 +151,7 @@ def occurrences(docs: DataFrame, blocks: Callable[[], Iterator[Index]]) -> DataF
                 out["shingle"].append(s + found[1])
             return out
 
-        df = map_batches(df, run, "doc_id long, text string, n_words int, place array<int>, shingle array<int>")
+        df = map_batches(df, run, "doc_id long, t long, text string, n_words int, place array<int>, shingle array<int>")
     return df.drop("text")
 
 
@@ -232,6 +233,7 @@ def contamination(
         n_hit = [covered(a, b) for a, b in zip(cols["begins"], cols["ends"], strict=True)]
         return {
             "doc_id": cols["doc_id"],
+            "t": cols["t"],
             "n_words": cols["n_words"],
             "n_hit": n_hit,
             "n_items": [len(x) for x in cols["items"]],
@@ -243,6 +245,12 @@ def contamination(
     return map_batches(df.drop("place", "shingle"), summed, RESULT)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of ``benchmark``."""
+    found = scratch.save(contamination(docs, benchmark, scratch).where("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "t"))
+    return without(docs, found)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every whole text of ``documents`` with windows of ``benchmark``."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "decontam"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "decontam")).drop("t")

@@ -28,21 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, keyed, table
 
 MIN_WORDS = 30
 BLOCK = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
-NO_ID = -(1 << 63)
 PLACE = ["d", "t", "i"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(row, d, t): all columns of a row as one, and its key."""
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(F.struct("*").alias("row"), d.alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(d, t, i, no, h1, h2, words) of every line with a word: its place among these, its number, its hash, its words."""
     lines = F.transform(F.split(F.col("row.text").cast("string"), "\n"), lambda x, n: F.struct(n.alias("no"), x.alias("line"), F.regexp_count(x, F.lit(WORDS)).alias("words")))
@@ -147,6 +140,17 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     return joined.select("row", F.when(F.col("ranges").isNull(), text).otherwise(kept).alias("text"), "ranges")
 
 
+def cleaned(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of ``docs`` with later copies deleted from ``text`` (and ``n_chars`` renewed, where there is one).
+    Documents of which no line with a word is left go; those that had none before stay."""
+    found = dedup_lines(docs, scratch, min_words)
+    found = found.where(F.col("ranges").isNull() | (F.regexp_count("text", F.lit(WORDS)) > 0))
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` without later copies of repeated line runs."""
     found = dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark, "line-dedup"))

@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Scratch, id_and_text, map_batches, table
+from .common import Scratch, id_and_text, key_columns, keyed, map_batches, table, without
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -54,7 +54,7 @@ NEIGHBOURS = 2
 ENOUGH = 2
 ROUNDS = 6
 BROADCAST_IDS = 500_000
-SETS = "doc_id long, n int, d1 long, d2 long, prefix array<long>, signature binary"
+SETS = "doc_id long, t long, n int, d1 long, d2 long, prefix array<long>, signature binary"
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -84,7 +84,7 @@ def least_common(na: Column, nb: Column, percent: int) -> Column:
 
 
 def sets_of(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Step 2: (doc_id, n, d1, d2, prefix, signature) of every document."""
+    """Step 2: (doc_id, t, n, d1, d2, prefix, signature) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(cols: dict) -> dict:
@@ -99,9 +99,10 @@ def sets_of(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
             d1, d2 = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
             for k, v in (("n", n), ("d1", d1), ("d2", d2), ("prefix", prefix.view(np.int64)), ("signature", S.signature(found))):
                 out[k].append(v)
-        return {"doc_id": cols["doc_id"]} | out
+        return {"doc_id": cols["doc_id"], "t": cols["t"]} | out
 
-    return map_batches(id_and_text(docs), run, SETS)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_columns()[1], F.col("text").cast("string").alias("text"))
+    return map_batches(read, run, SETS)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -201,7 +202,7 @@ def pairs_left(postings: DataFrame) -> int:
 
 
 def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(membership: doc_id, n_shingles, component_id; links: a, b)."""
+    """(membership: doc_id, t (a hash of the text), n_shingles, component_id; links: a, b)."""
     sets = scratch.save(sets_of(docs, word_counts(docs), width, percent))
     key = ["d1", "d2", "n"]
     smallest = sets.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min("doc_id").alias("rid"))
@@ -237,13 +238,13 @@ def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = P
         open_lists = scratch.save(labelled(postings, groups))
         left = pairs_left(open_lists)
 
-    whole = sets.select("doc_id", *key).alias("s").join(smallest.alias("r"), key, "left")
+    whole = sets.select("doc_id", "t", *key).alias("s").join(smallest.alias("r"), key, "left")
     component = F.col("rid")
     if groups is not None:
         whole = whole.join(groups.withColumnRenamed("node", "rid"), "rid", "left")
         component = F.coalesce("component", "rid")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
-    membership = whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own_id.alias("component_id"))
+    membership = whole.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), own_id.alias("component_id"))
     return membership, links if links is not None else pairs_none(docs.sparkSession)
 
 
@@ -251,9 +252,25 @@ def pairs_none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "a long, b long")
 
 
+def keep_one(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but the smallest (doc_id, t) of each component.
+    Rows without shingles and rows of a null id stay. Of rows that repeat id and text one stays."""
+    rows = join(docs, scratch, width, percent)[0].where("n_shingles > 0 and doc_id is not null")
+    rows = scratch.save(rows.select(F.col("doc_id").alias("d"), "t", "component_id"))
+    kept = rows.groupBy("component_id").agg(F.min(F.struct("d", "t")).alias("kept"))
+    dropped = rows.join(kept, "component_id").where(F.struct("d", "t") != F.col("kept")).select("d", "t").distinct()
+    left = without(docs, dropped)
+    again = scratch.save(rows.groupBy("d", "t").agg(F.count("*").alias("n")).where("n > 1").select("d", "t"))
+    if again.isEmpty():
+        return left
+    repeated = keyed(left).join(again, ["d", "t"], "left_semi")
+    nth = F.row_number().over(W.partitionBy("d", "t").orderBy(F.xxhash64("row")))
+    return without(left, again).unionByName(repeated.withColumn("nth", nth).where("nth = 1").select("row.*"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` at 85 percent of 4-word shingles."""
-    return join(table(spark, sf_dir, "documents"), Scratch(spark, "ngram-join"), width=4, percent=85)[0]
+    return join(table(spark, sf_dir, "documents"), Scratch(spark, "ngram-join"), width=4, percent=85)[0].drop("t")
 
 
 ORACLE = r"""

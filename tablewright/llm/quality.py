@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, table
+from .common import filter_batches, id_and_text, map_batches, table
 
 BITS = 18
 #: Most labelled documents that training reads: the first by a hash of the id. Bounds the training task and the join's small side.
@@ -137,19 +137,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     return np.frombuffer(model["weights"], float) if model else np.zeros(1 << BITS)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score): the probability of label 1 for each row."""
+def scorer(docs: DataFrame, weights: np.ndarray) -> Callable[[list], list[float]]:
+    """Texts -> probabilities of label 1, for use on executors."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(cols: dict) -> dict:
+    def run(texts: list) -> list[float]:
         w, hasher, out = shared.value, Hasher(), []
-        for text in cols["text"]:
+        for text in texts:
             places = hasher.places(text)
             dot = w[0] + (SCALE / max(1, len(places))) * float(w[places].sum())
             out.append(float(1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, dot))))))
-        return {"doc_id": cols["doc_id"], "score": out}
+        return out
+
+    return run
+
+
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, score): the probability of label 1 for each row."""
+    run = scorer(docs, weights)
+    return map_batches(id_and_text(docs), lambda cols: {"doc_id": cols["doc_id"], "score": run(cols["text"])}, "doc_id long, score double")
+
 
-    return map_batches(id_and_text(docs), run, "doc_id long, score double")
+def good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are predicted to have label 1."""
+    run = scorer(docs, train(docs, labels, rows))
+    return filter_batches(docs, lambda texts: [p >= 0.5 for p in run(texts)])
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

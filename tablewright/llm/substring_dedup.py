@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text, map_batches, table
+from .common import Scratch, key_columns, keyed, map_batches, table
 
 MEAN = 32
 MOST = 256
 MIN_CHARS = 100
-NO_ID = -(1 << 63)
 #: The gear table: a random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 SPACE = np.zeros(256, bool)
@@ -106,9 +105,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         found = [chunks(x) for x in cols["text"]]
         return {"d": cols["d"], "t": cols["t"], **{k: [f[i] for f in found] for i, k in enumerate(("digests", "begins", "ends"))}}
 
-    text = F.col("text")
-    keyed = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), "text")
-    return map_batches(keyed, run, CHUNKS)
+    return map_batches(docs.select(*key_columns(), F.col("text").cast("string").alias("text")), run, CHUNKS)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -145,8 +142,7 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHA
     """(row, text, spans, sources, n_chunks, n_repeats): each row as it was, and its text without repeated stretches."""
     found = repeats(docs, scratch, min_chars)
     text = F.col("row.text").cast("string")
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    joined = keyed.join(found.hint("shuffle_hash"), ["d", "t"], "left")
+    joined = keyed(docs).join(found.hint("shuffle_hash"), ["d", "t"], "left")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     cut = F.aggregate(
         "spans",
