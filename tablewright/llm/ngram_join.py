@@ -9,14 +9,14 @@ or more, is common. The join runs as follows.
    shingles of which a partner must share one), and a signature. Equal sets become one representative.
 3. Prefix shingles that two representatives share make postings; the rest, most of them, end here. Pairs of
    a posting list pass a length filter and a positional filter.
-4. Pairs are made in rounds. A neighbour round pairs each document with the one next to it in each list, in
-   a random order, and verifies the few pairs of each that share most; verified links merge components. Pairs
-   inside a component need no verifying, so large groups of near copies melt without all their pairs being
-   made. Once the pairs left are no more than in proportion to the postings, or rounds don't help any more,
-   the last round makes all pairs between different components, so no link between components is missed.
-5. A pair passes a suffix filter (signatures bound the difference of the sets), is deduplicated, and is then
-   verified on the exact sets of 64-bit shingle hashes, which only documents with a shared prefix shingle
-   have computed.
+   A pair also passes a suffix filter: 512-bit signatures bound how many shingles only one of two sets has.
+4. Pairs are made in rounds. A neighbour round pairs each document with the one next to it in each list, in a
+   random order, and with the list's hub; verified links merge components. Pairs inside a component need no
+   verifying, so large groups of near copies melt without all their pairs being made. Once the pairs left are
+   no more than in proportion to the postings, or rounds don't help any more, the last round makes all pairs
+   between different components, so no link between components is missed.
+5. Pairs are deduplicated over lists and rounds, and each is verified once, on the exact sets of 64-bit
+   shingle hashes, which only documents with a shared prefix shingle have computed.
 
 What is returned is membership: the component of each document, and the verified links, which span each
 component of the full link graph.
@@ -49,12 +49,14 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 CHUNK = 5_000
 #: Pairs that a document verifies in a neighbour round.
-NEIGHBOURS = 2
+NEIGHBOURS = 6
 #: All remaining pairs are made once they are at most this many times the postings.
 ENOUGH = 2
 ROUNDS = 6
+#: Neighbour rounds go on while each leaves at most this share of the pairs.
+SHRINK = 0.25
 BROADCAST_IDS = 500_000
-SETS = "doc_id long, t long, n int, d1 long, d2 long, prefix array<long>, signature binary"
+SETS = "doc_id long, t long, n int, d1 long, d2 long, prefix array<long>, signature array<long>"
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -105,10 +107,15 @@ def sets_of(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
     return map_batches(read, run, SETS)
 
 
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ``ids``. A broadcast where these are few, which spares a shuffle of the rows."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return rows.join(ids, "doc_id", "left_semi")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, grams): the whole sets of the documents with these ids."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    wanted = id_and_text(docs).join(ids, "doc_id", "left_semi")
+    wanted = with_ids(id_and_text(docs), ids)
 
     def run(cols: dict) -> dict:
         hasher = S.WordHasher()
@@ -124,53 +131,62 @@ def postings_of(reps: DataFrame) -> DataFrame:
     return each.join(shared, "token")
 
 
-def passes(percent: int) -> Column:
+def passes(percent: int, x: str = "x", y: str = "y") -> Column:
     """Length, prefix and positional filters on postings x and y of one list, x the smaller set."""
-    xn, yn, xp, yp = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
+    xn, yn, xp, yp = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
     index_prefix = xn - F.ceil(xn * (2.0 * percent) / (100.0 + percent)) + 1
     most = F.least(xp, yp) + 1 + F.least(xn - xp - 1, yn - yp - 1)
     return (yn * percent <= xn * 100) & (xp < index_prefix) & (most >= least_common(xn, yn, percent))
 
 
-def neighbour_pairs(postings: DataFrame, seed: int, percent: int) -> DataFrame:
-    """(a, b): for each document the NEIGHBOURS others it is next to most often."""
+def close(percent: int, x: str = "x", y: str = "y") -> Column:
+    """Suffix filter: the signatures of two sets bound how many shingles only one of them has."""
+    words = [F.bit_count(F.col(f"{x}.signature")[i].bitwiseXOR(F.col(f"{y}.signature")[i])) for i in range(S.BITS // 64)]
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return sum(words[1:], words[0]) <= n - 2 * least_common(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+
+def neighbour_pairs(postings: DataFrame, members: DataFrame, seed: int, percent: int) -> DataFrame:
+    """(a, b): pairs of different components, for each document of the NEIGHBOURS lists it shares most of. Its partners
+    are the one next to it in a random order, and the list's hub: the document with the fewest shingles rarer than the list's,
+    as an original has among copies that were each changed elsewhere."""
     salt = F.pmod(F.xxhash64(F.lit(seed), "token", "rid"), F.ceil(F.col("cnt") / CHUNK))
-    salted = postings.withColumns({"salt": salt, "order": F.xxhash64(F.lit(seed + 1), "token", "rid")})
     row = F.struct("rid", "n", "pos", "c")
-    near = salted.select(row.alias("p"), F.lag(row).over(W.partitionBy("token", "salt").orderBy("order", "rid")).alias("q"))
+    salted = postings.select("token", row.alias("p"), "rid", salt.alias("salt"), F.xxhash64(F.lit(seed + 1), "token", "rid").alias("order"))
+    near = salted.select("p", F.lag("p").over(W.partitionBy("token", "salt").orderBy("order", "rid")).alias("q"))
+    hubs = postings.groupBy("token").agg(F.min(F.struct("pos", "rid", "n", "c")).alias("hub"))
+    hub = F.struct("hub.rid", "hub.n", "hub.pos", "hub.c")
+    near = near.unionByName(postings.join(hubs, "token").select(row.alias("p"), hub.alias("q")))
     near = near.where("q is not null and p.c != q.c and p.rid != q.rid")
     first = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.rid") < F.col("q.rid")))
-    sided = near.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("x"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("y"))
-    pairs = sided.where(passes(percent)).groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).agg(F.count("*").alias("shared"))
-    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    return pairs.withColumn("nth", best).where(F.col("nth") <= NEIGHBOURS).select("a", "b")
-
-
-def remaining_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a list that pass the filters and are of different components."""
-    x, y = postings.alias("x"), postings.alias("y")
-    first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rid") < F.col("y.rid")))
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & first & passes(percent))
-    return found.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs that link: suffix filter on signatures, then the exact intersection."""
+    sided = near.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("x"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("y"), F.col("p.rid").alias("own"))
+    pairs = sided.where(passes(percent)).groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), "own").agg(F.count("*").alias("shared"))
+    best = F.row_number().over(W.partitionBy("own").orderBy(F.desc("shared"), "a", "b"))
+    pairs = pairs.withColumn("nth", best).where(F.col("nth") <= NEIGHBOURS).select("a", "b").distinct()
+    x, y = members.alias("x"), members.alias("y")
+    likely = pairs.join(x, F.col("a") == F.col("x.rid")).join(y, F.col("b") == F.col("y.rid")).where(close(percent))
+    return likely.select("a", "b").distinct()
+
+
+def remaining_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a list that pass the filters and are of different components. One of each pair is outside
+    the list's largest component, so pairs inside that one aren't even looked at."""
+    signed = postings.join(members.select("rid", "n", "signature"), ["rid", "n"])
+    p, q = signed.where("not major").alias("p"), signed.alias("q")
+    once = F.col("q.major") | (F.col("p.rid") < F.col("q.rid"))
+    small = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.rid") < F.col("q.rid")))
+    sized = (small & passes(percent, "p", "q")) | (~small & passes(percent, "q", "p"))
+    found = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.c") != F.col("q.c")) & once & sized & close(percent, "p", "q"))
+    a, b = F.when(small, F.col("p.rid")).otherwise(F.col("q.rid")), F.when(small, F.col("q.rid")).otherwise(F.col("p.rid"))
+    return found.select(a.alias("a"), b.alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs that link, by the exact intersection of their sets."""
+    grams = with_ids(grams, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sides = pairs
-    for end in "ab":
-        sides = sides.join(sets.select(F.col("rid").alias(end), F.col("n").alias(f"n_{end}"), F.col("signature").alias(f"s_{end}")), end)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, S.RANGES).astype(np.int16) for c in ("s_a", "s_b")]
-            n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-            least = -(-n * percent // (100 + percent))
-            keep = np.abs(sig[0] - sig[1]).sum(axis=1) <= n - 2 * least
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    likely = sides.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a long, b long").distinct()
     for end in "ba":
-        likely = likely.join(grams.select(F.col("doc_id").alias(end), F.col("grams").alias(f"g_{end}")), end)
+        sides = sides.join(grams.select(F.col("doc_id").alias(end), F.col("grams").alias(f"g_{end}")), end)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,24 +197,24 @@ def verified(pairs: DataFrame, sets: DataFrame, grams: DataFrame, percent: int)
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return likely.select("a", "b", "g_a", "g_b").mapInArrow(exact, "a long, b long").distinct()
+    return sides.select("a", "b", "g_a", "g_b").mapInArrow(exact, "a long, b long").distinct()
 
 
 def labelled(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Postings with their component ``c``, of lists that still have several."""
-    if groups is None:
-        return postings.withColumn("c", F.col("rid"))
-    known = postings.join(groups.select(F.col("node").alias("rid"), "component"), "rid", "left")
-    known = known.withColumn("c", F.coalesce("component", "rid")).drop("component", "cnt")
-    by_list = known.groupBy("token").agg(F.count("*").alias("cnt"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    return known.join(by_list.select("token", "cnt"), "token")
+    """Postings with their component ``c``, and whether that is the list's largest, of lists that still have several."""
+    known = postings.drop("cnt").withColumn("c", F.col("rid"))
+    if groups is not None:
+        known = known.join(groups.select(F.col("node").alias("rid"), "component"), "rid", "left")
+        known = known.withColumn("c", F.coalesce("component", "rid")).drop("component")
+    own = known.groupBy("token", "c").agg(F.count("*").alias("k"))
+    lists = own.groupBy("token").agg(F.sum("k").alias("cnt"), F.max(F.struct("k", "c")).alias("largest"), F.count("*").alias("several")).where("several > 1")
+    found = known.join(lists.select("token", "cnt", F.col("largest.c").alias("largest")), "token")
+    return found.withColumn("major", F.col("c") == F.col("largest")).drop("largest")
 
 
 def pairs_left(postings: DataFrame) -> int:
-    """Pairs of different components over all lists, before filters."""
-    own = postings.groupBy("token", "c").agg(F.count("*").cast("decimal(38,0)").alias("k"))
-    left = own.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("left"))
-    return int(left.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0])
+    """Pairs that remaining_pairs would look at, about."""
+    return int(postings.agg(F.coalesce(F.sum(F.when(~F.col("major"), F.col("cnt").cast("decimal(38,0)"))), F.lit(0))).first()[0])
 
 
 def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -220,23 +236,25 @@ def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = P
     links: DataFrame | None = None
     groups: DataFrame | None = None
     done: DataFrame | None = None
-    open_lists, left = labelled(postings, None), pairs_left(labelled(postings, None))
+    open_lists = scratch.save(labelled(postings, None))
+    left = pairs_left(open_lists)
+    before = left / SHRINK
     for turn in range(ROUNDS + 1):
         if not left:
             break
-        last = left <= ENOUGH * size or turn == ROUNDS
-        pairs = remaining_pairs(open_lists, percent) if last else neighbour_pairs(open_lists, turn, percent)
+        last = left <= ENOUGH * size or left > SHRINK * before or turn == ROUNDS
+        pairs = remaining_pairs(open_lists, members, percent) if last else neighbour_pairs(open_lists, members, turn, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
-        found = scratch.save(verified(pairs, members, grams, percent))
+        found = scratch.save(verified(pairs, grams, percent))
         links = found if links is None else links.unionByName(found)
         groups = scratch.save(components(links, scratch))
         if last:
             break
         done = pairs if done is None else done.unionByName(pairs)
         open_lists = scratch.save(labelled(postings, groups))
-        left = pairs_left(open_lists)
+        before, left = left, pairs_left(open_lists)
 
     whole = sets.select("doc_id", "t", *key).alias("s").join(smallest.alias("r"), key, "left")
     component = F.col("rid")

@@ -11,8 +11,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Places of the word-count sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 20
 MEMO_MAX = 400_000
-#: Ranges of the hash that a set's signature counts.
-RANGES = 64
+#: Bits of a set's signature: 2**9.
+BITS = 512
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,7 +66,8 @@ def rare_first(words: np.ndarray, found: np.ndarray, begins: np.ndarray, width:
     return found[np.lexsort((found, bound))]
 
 
-def signature(found: np.ndarray) -> bytes:
-    """How many shingles are in each of RANGES ranges of the hash, 255 at most. The sum of differences between two
-    signatures is a lower bound of the sets' symmetric difference."""
-    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+def signature(found: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: for each range of the hash, whether an odd number of shingles is in it. Where two signatures
+    differ, at least one shingle is in one set alone, so differing bits bound the sets' symmetric difference from below."""
+    odd = np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
