@@ -1,19 +1,496 @@
-"""Queries over the toolkit's own operators, and the SQL that checks them."""
+"""Queries over the toolkit's own operators, and the SQL that checks them.
+
+The driver tables are clean, so dirt is made by rules on row numbers that both SQL dialects can state.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "row_count"
+from ..functions import parse
+from ..functions.clean import CleaningConfig, clean_text, quick_clean, replace_characters
+from ..functions.types import ColumnSpec, ForeignKey, Logical, schema_of
+from ..operators import cast, coerce, correct, dml, mapping, outliers, predicate, profile, validate
+
+FLAGSHIP = "where_expr_and_or"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Predicates, projection
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def where_eq(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "orders"), "o_orderstatus = 'F'", ["o_orderkey", "o_orderstatus"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_orderkey != 7 AND o_custkey < 500")
+def where_cmp(spark, sf_dir):
+    conditions = [("o_totalprice", ">=", 100000.0), "o_orderkey != 7", {"field": "o_custkey", "operator": "<", "value": 500}]
+    return predicate.select(read(spark, sf_dir, "orders"), conditions, ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
+def where_between(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "orders"), "o_totalprice BETWEEN '1000' and '50000'", ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 15) AND p_name IS NOT NULL")
+def where_in(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "part"), ["p_size IN ('1', '7', '15')"], ["p_partkey", "p_size"])
+
+
+@query("SELECT p_partkey FROM part WHERE 1 = 0")
+def where_in_empty(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "part"), ["p_size IN ()"], ["p_partkey"])
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'A')")
+def where_like_contains(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "part"), [("p_type", "LIKE", "A")], ["p_partkey", "p_type"])
+
+
+@query("SELECT event_id, event_type FROM events WHERE contains(event_type, '_') OR contains(props, '%')")
+def where_like_escaped(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "events"), ["event_type LIKE '_'", "props LIKE '%'"], ["event_id", "event_type"], "1 OR 2")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 20000 AND (o_orderstatus = 'F' OR o_custkey < 100)")
+def where_expr_and_or(spark, sf_dir):
+    conditions = ["o_totalprice > 20000", "o_orderstatus = 'F'", ("o_custkey", "<", 100)]
+    return predicate.select(read(spark, sf_dir, "orders"), conditions, ["o_orderkey", "o_orderstatus", "o_totalprice"], "1 AND (2 OR 3)")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42")
+def where_placeholder(spark, sf_dir):
+    row = {"O_CUSTKEY": 42}
+    return predicate.select(read(spark, sf_dir, "orders"), [("o_custkey", "=", "?"), ("o_clerk", "=", "?")], ["o_orderkey", "o_custkey"], row=row)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0")
+def select_columns_aligned(spark, sf_dir):
+    return predicate.select(read(spark, sf_dir, "customer"), "C_ACCTBAL < 0", ["C_CUSTKEY", "C_Name", "c_acctbal"]).toDF("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT c_custkey AS customer_id, c_name AS customer_name, c_acctbal AS balance FROM customer")
+def map_columns_normalized(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").withColumnsRenamed({"c_custkey": "Customer ID", "c_name": "customer-name"})
+    found = mapping.by_name(df.columns, ["customer_id", "customer_name", "balance"], {"C_ACCTBAL": "balance"})
+    return mapping.apply(df, found)
+
+
+# Constraints
+
+
+@query("SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 1000000 ELSE 0 END AS k FROM orders WHERE o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 1000000 ELSE 0 END NOT IN (SELECT c_custkey FROM customer)")
+def fk_orphans(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 97 == 0, 1000000).otherwise(0)).alias("k"))
+    return validate.orphans(df, read(spark, sf_dir, "customer"), ForeignKey(("k",), "customer", ("c_custkey",)))
+
+
+@query("SELECT DISTINCT o_orderkey * 3 AS o_orderkey FROM orders WHERE o_orderkey * 3 IN (SELECT o_orderkey FROM orders)")
+def unique_vs_table(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return validate.already_there(orders.select((F.col("o_orderkey") * 3).alias("o_orderkey")), orders, ["o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dup_in_batch(spark, sf_dir):
+    return validate.repeated_keys(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 5 = 0) AS value_nulls, count(*) FILTER (WHERE event_id % 7 = 0) AS user_nulls FROM events")
+def non_nullable_nulls(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id")
+    )
+    return df.agg(F.count_if(profile.absent(df, "value")).alias("value_nulls"), F.count_if(profile.absent(df, "user_id")).alias("user_nulls"))
+
+
+# Profiles, keys, samples
+
+
+def _profile_sql(table: str, columns: dict[str, tuple[str, str, bool]]) -> str:
+    one = "SELECT '{c}' AS \"column\", '{t}' AS dtype, count(v) > 0 AND count(DISTINCT v) <= count(v) * 0.1 AS is_categorical, count(v) > 0 AND count(DISTINCT v) = count(v) AS is_unique, {d} AS is_datetime, count(*) - count(v) AS null_count, count(v) AS non_null_count, round((count(*) - count(v)) * 100.0::DOUBLE / count(*), 2) AS null_pct, count(DISTINCT v) AS distinct_count FROM (SELECT {e} AS v FROM {table})"
+    return " UNION ALL ".join(one.format(c=c, t=t, d=str(d).lower(), e=e, table=table) for c, (t, e, d) in columns.items())
+
+
+ORDERS_PROFILE = {
+    "o_orderkey": ("bigint", "o_orderkey", False), "o_custkey": ("bigint", "o_custkey", False), "o_orderstatus": ("string", "o_orderstatus", False),
+    "o_totalprice": ("double", "o_totalprice", False), "o_orderdate": ("timestamp_ntz", "o_orderdate", True), "o_orderpriority": ("string", "o_orderpriority", False),
+}
+
+
+@query(_profile_sql("orders", ORDERS_PROFILE))
+def profile_orders(spark, sf_dir):
+    return profile.profile(read(spark, sf_dir, "orders"))
+
+
+@query(_profile_sql("events", {"event_id": ("bigint", "event_id", False), "value": ("double", "CASE WHEN event_id % 5 > 0 THEN value END", False), "event_type": ("string", "CASE WHEN event_id % 3 > 0 THEN event_type END", False)}))
+def profile_events_with_nulls(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event_type"))
+    return profile.profile(df)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) / count({c})::DOUBLE AS uniqueness_ratio FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
+def uniqueness_ratio(spark, sf_dir):
+    return profile.uniqueness(profile.profile(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))).select("column", "uniqueness_ratio")
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR AS pk FROM orders")
+def pk_single_orders(spark, sf_dir):
+    return profile.infer_key(read(spark, sf_dir, "orders")).frame.select("o_orderkey", "pk")
+
+
+@query("SELECT count(*) AS n, count(*) = count(DISTINCT (l_extendedprice, l_shipdate)) AS holds, 'l_extendedprice,l_shipdate' AS components FROM lineitem")
+def pk_composite_lineitem(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    key = profile.infer_key(df)
+    found = key.components[:2]
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(profile.is_key(df, found)).alias("holds"), F.lit(",".join(found)).alias("components"))
+
+
+SAMPLE_SQL = """SELECT o_orderkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn, count(*) OVER () AS n FROM orders {where})
+WHERE rn <= greatest(1, floor(n * 5 / 200)) OR rn > n - greatest(1, floor(n * 5 / 200))"""
+
+
+@query(SAMPLE_SQL.format(where=""))
+def sample_head_tail_5pct(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return profile.sample(df, 5, "o_totalprice").rows
+
+
+@query(SAMPLE_SQL.format(where="WHERE o_orderkey % 3 > 0"))
+def sample_filter_none(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderkey")
+    return profile.sample(df, 5, "o_totalprice", filter_none=True).rows
+
+
+# Casting
+
+
+def events_text(spark, sf_dir, **columns: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", *(F.expr(e).alias(c) for c, e in columns.items()))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 29 > 0 THEN event_id * 1000 + 0.5::DOUBLE END AS amount FROM events")
+def cast_currency(spark, sf_dir):
+    text = "case when event_id % 29 = 0 then 'n/a' when event_id % 2 = 0 then concat('$', event_id, ',000.50') else concat(' €', event_id, '000.5 ') end"
+    return cast.cast_df(events_text(spark, sf_dir, amount=text))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag FROM events")
+def cast_bool_map(spark, sf_dir):
+    return cast.cast_df(events_text(spark, sf_dir, flag="case event_id % 5 when 0 then 'Yes' when 1 then 'off' when 2 then ' T ' when 3 then 'n' end"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN DATE '2024-01-01' + (event_id % 28)::INT ELSE DATE '2023-02-01' + (event_id % 28)::INT END::TIMESTAMP AS created FROM events")
+def cast_dates(spark, sf_dir):
+    day = "lpad(cast(event_id % 28 + 1 as string), 2, '0')"
+    return cast.cast_df(events_text(spark, sf_dir, created=f"case when event_id % 2 = 0 then concat('2024-01-', {day}) else concat({day}, '/02/2023') end"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'soon' ELSE '2024-01-01' END AS created FROM events")
+def cast_rejected_by_null_increase(spark, sf_dir):
+    return cast.cast_df(events_text(spark, sf_dir, created="case when event_id % 4 = 0 then 'soon' else '2024-01-01' end"))
+
+
+@query("SELECT 'props' AS \"column\", 'STRUCTURED_OBJECT' AS semantic, count(*) FILTER (WHERE json_valid(props)) AS valid FROM events")
+def semantic_type_props(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    return df.agg(F.lit("props").alias("column"), F.lit(cast.semantic_type(df, "props")).alias("semantic"), F.count_if(parse.json_valid(F.col("props"))).alias("valid"))
+
+
+# Coercion
+
+DIRTY_INT = "case when event_id % 19 = 0 then null when event_id % 17 = 0 then 'abc' when event_id % 13 = 0 then ' ' || cast(event_id as {s}) || ' ' when event_id % 11 = 0 then cast(event_id as {s}) || '.0' when event_id % 7 = 0 then cast(event_id as {s}) || '.5' else cast(event_id as {s}) end"
+INT_OK = "event_id % 19 > 0 AND event_id % 17 > 0 AND (event_id % 13 = 0 OR event_id % 11 = 0 OR event_id % 7 > 0)"
+
+
+def coerced(df: DataFrame, name: str, found: coerce.Coerced) -> DataFrame:
+    return df.select("event_id", found.value.alias("value"), found.failed.alias("failed"))
+
+
+@query(f"SELECT event_id, CASE WHEN {INT_OK} THEN event_id END AS value, event_id % 19 > 0 AND NOT ({INT_OK}) AS failed FROM events")
+def coerce_integer(spark, sf_dir):
+    df = events_text(spark, sf_dir, t=DIRTY_INT.format(s="string"))
+    return coerced(df, "t", coerce.integer(F.col("t"), df.schema["t"].dataType))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 > 0 THEN (event_id % 1000 * 8 + 5) // 10 / 100::DOUBLE END AS value, event_id % 10 = 0 AS failed FROM events")
+def coerce_decimal_scale(spark, sf_dir):
+    text = "case when event_id % 10 = 0 then '12345678' else concat(cast(event_id % 1000 * 8 div 1000 as string), '.', lpad(cast(event_id % 1000 * 8 % 1000 as string), 3, '0')) end"
+    df = events_text(spark, sf_dir, t=text)
+    found = coerce.decimal(F.col("t"), df.schema["t"].dataType, 7, 2)
+    return coerced(df, "t", found).withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT event_id, left(event_type || '-' || event_id, 8) AS value, false AS failed FROM events")
+def coerce_string_truncate(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="concat(event_type, '-', event_id)")
+    return coerced(df, "t", coerce.string(F.col("t"), 8, coerce.OnLength.TRUNCATE))
+
+
+@query("SELECT event_id, CASE WHEN len(event_type || '-' || event_id) <= 9 THEN event_type || '-' || event_id END AS value, false AS failed FROM events")
+def coerce_string_null(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="concat(event_type, '-', event_id)")
+    return coerced(df, "t", coerce.string(F.col("t"), 9, coerce.OnLength.NULL))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false END AS value, event_id % 7 = 5 AS failed FROM events")
+def coerce_bool(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="case event_id % 7 when 0 then ' Yes ' when 1 then 'F' when 2 then '1.0' when 3 then 'on' when 4 then '0' when 5 then 'maybe' end")
+    return coerced(df, "t", coerce.boolean(F.col("t"), df.schema["t"].dataType))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN TIMESTAMP '2023-01-02 10:00:00' WHEN 1 THEN TIMESTAMP '2023-02-13' WHEN 2 THEN TIMESTAMP '2023-01-05' END AS value, event_id % 5 > 2 AS failed FROM events")
+def coerce_datetime(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="case event_id % 5 when 0 then '2023-01-02 10:00:00' when 1 then '13/02/2023' when 2 then '20230105' when 3 then '12:30' else '1' end")
+    return coerced(df, "t", coerce.timestamp(F.col("t"), df.schema["t"].dataType))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{\"k\":' || event_id || '}' WHEN event_id % 4 = 1 THEN '[1,2]' END AS value, event_id % 4 > 1 AS failed FROM events")
+def coerce_json(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="case event_id % 4 when 0 then concat('{\"k\": ', event_id, '}') when 1 then ' [1, 2]' when 2 then '' else '{bad' end")
+    return coerced(df, "t", coerce.json_text(F.col("t"), df.schema["t"].dataType))
+
+
+@query(f"SELECT 'n' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE event_id % 19 > 0 AND NOT ({INT_OK})) AS failures, 'null' AS decision FROM events UNION ALL SELECT 'event_id', count(*), 0, 'none' FROM events")
+def failure_rates(spark, sf_dir):
+    df = events_text(spark, sf_dir, n=DIRTY_INT.format(s="string"))
+    schema = schema_of(spark.createDataFrame([], "event_id long, n long").schema)
+    _, report = correct.correct(df, schema)
+    return spark.createDataFrame([(c.column, c.rows, c.failures, c.decision) for c in report.columns], "column string, rows long, failures long, decision string")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id END AS value, event_id % 4 > 1 AS failed FROM events")
+def strict_int_tolerance(spark, sf_dir):
+    df = events_text(spark, sf_dir, x="cast(event_id as double) + case event_id % 4 when 0 then 0D when 1 then 0.0000000001D when 2 then 0.25D else -0.01D end")
+    return coerced(df, "x", coerce.integer(F.col("x"), df.schema["x"].dataType, tolerance=1e-9))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS value, event_id % 5 > 1 AS failed FROM events")
+def strict_bool(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="case event_id % 5 when 0 then 'YES' when 1 then 'off' when 2 then 't' when 3 then '1.0' else 'f' end")
+    return coerced(df, "t", coerce.boolean(F.col("t"), df.schema["t"].dataType, strict=True))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 > 0 THEN event_id END AS n, NULL::DOUBLE AS score FROM events")
+def align_missing_and_extra(spark, sf_dir):
+    df = events_text(spark, sf_dir, N="case when event_id % 100 > 0 then cast(event_id as string) else 'x' end", extra="1")
+    schema = schema_of(spark.createDataFrame([], "event_id long, n long, score double").schema)
+    return correct.align(df, schema, fill_missing=True)
+
+
+# Outliers
+
+
+def _outlier_sql(keep: str, bounds: str, low: str, high: str) -> str:
+    return f"WITH b AS (SELECT {bounds} FROM events) SELECT event_id, {keep} FROM events, b WHERE value < {low} OR value > {high}"
+
+
+def outlier_rows(spark, sf_dir, method: str, factor: float) -> DataFrame:
+    df = read(spark, sf_dir, "events")
+    return df.where(~outliers.valid_mask(df, "value", method, factor)).select("event_id", "value")
+
+
+QUARTILES = "quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c"
+
+
+@query(_outlier_sql("value", QUARTILES, "a - 1.5 * (c - a)", "c + 1.5 * (c - a)"))
+def outliers_iqr15(spark, sf_dir):
+    return outlier_rows(spark, sf_dir, "iqr", 1.5)
+
+
+@query(_outlier_sql("value", QUARTILES, "a - 3.0 * (c - a)", "c + 3.0 * (c - a)"))
+def outliers_iqr30(spark, sf_dir):
+    return outlier_rows(spark, sf_dir, "iqr", 3.0)
+
+
+@query(_outlier_sql("value", "avg(value) AS m, stddev_pop(value) AS s", "m - 3.0 * s", "m + 3.0 * s"))
+def outliers_zscore(spark, sf_dir):
+    return outlier_rows(spark, sf_dir, "zscore", 3.0)
+
+
+@query(f"WITH b AS (SELECT {QUARTILES} FROM events) SELECT event_id, CASE WHEN value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) THEN value END AS value FROM events, b")
+def null_outliers(spark, sf_dir):
+    return outliers.null_outliers(read(spark, sf_dir, "events"), "value").select("event_id", "value")
+
+
+# DML, on frames: the plans that the statements commit
+
+SHORT = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+def short_orders(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query(f"SELECT {SHORT} FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'N', NULL FROM orders WHERE o_orderkey % 2 = 1")
+def insert_append(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    new = df.where("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey", F.lit("N").alias("o_orderstatus"))
+    return df.where("o_orderkey % 2 = 0").unionByName(new, allowMissingColumns=True)
+
+
+@query(f"""WITH n AS (SELECT o_orderkey + CASE WHEN o_orderkey % 20 = 0 THEN 10000000 ELSE 0 END AS o_orderkey, o_custkey, 'U' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 10 = 0)
+SELECT {SHORT} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT {SHORT} FROM n""")
+def upsert_orders(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    key = (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 20 == 0, 10000000).otherwise(0)).alias("o_orderkey")
+    new = df.where("o_orderkey % 10 = 0").select(key, "o_custkey", F.lit("U").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.col("o_orderkey").alias("__ord"))
+    return dml.upserted(df, new, ["o_orderkey"])
+
+
+@query(f"""WITH s AS (SELECT o_orderkey // 4 * 4 + 1 AS k, o_custkey, o_orderkey AS ord FROM orders), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1)
+SELECT coalesce(k, o_orderkey) AS o_orderkey, CASE WHEN k IS NOT NULL THEN w.o_custkey ELSE o.o_custkey END AS o_custkey, CASE WHEN k IS NOT NULL THEN 'L' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders o FULL JOIN w ON o_orderkey = k""")
+def upsert_last_wins(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    new = df.select(F.expr("o_orderkey div 4 * 4 + 1").alias("o_orderkey"), "o_custkey", F.lit("L").alias("o_orderstatus"), F.col("o_orderkey").alias("__ord"))
+    return dml.upserted(df, new, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def upsert_partial_columns(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    new = df.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("P").alias("o_orderstatus"), F.col("o_orderkey").alias("__ord"))
+    return dml.upserted(df, new, ["o_orderkey"])
+
+
+@query(f"SELECT {SHORT} FROM orders UNION ALL SELECT NULL, o_custkey, 'Z', o_totalprice FROM orders WHERE o_orderkey % 500 = 0")
+def upsert_null_key(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    new = df.where("o_orderkey % 500 = 0").select(F.lit(None).cast("long").alias("o_orderkey"), "o_custkey", F.lit("Z").alias("o_orderstatus"), "o_totalprice", F.col("o_orderkey").alias("__ord"))
+    return dml.upserted(df, new, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 100000 AND o_orderstatus IN ('F', 'P') THEN 'B' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def update_where(spark, sf_dir):
+    df = short_orders(spark, sf_dir)
+    holds = predicate.predicate(["o_totalprice > 100000", "o_orderstatus IN ('F', 'P')"], "1 AND 2", df.columns)
+    return dml.updated(df, holds, {"o_orderstatus": F.lit("B")})
+
+
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS ord, o_orderkey FROM orders), b AS (SELECT *, (ord - 1) // 1000 AS chunk, (o_orderkey % 2000 < 12)::INT AS bad FROM s),
+p AS (SELECT *, coalesce(sum(bad) OVER (PARTITION BY chunk ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM b)
+SELECT chunk, count(*) FILTER (WHERE prior < 5 AND bad = 0) AS written, count(*) FILTER (WHERE prior < 5 AND bad = 1) AS failed, count(*) FILTER (WHERE prior >= 5) AS unprocessed FROM p GROUP BY chunk""")
+def row_isolation_tolerance(spark, sf_dir):
+    from ..operators.ordinals import with_ordinal
+
+    df = with_ordinal(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    df = df.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2000 >= 12, F.col("o_orderkey")))
+    specs = (ColumnSpec("o_orderkey", Logical.INTEGER, "bigint"), ColumnSpec("o_custkey", Logical.INTEGER, "bigint", nullable=False))
+    rows = dml.isolated(dml.reasons(df, correct.TableSchema(specs), None), 1000, 5)
+    count = lambda s: F.count_if(F.col("__status") == s).alias(s)
+    return rows.groupBy(F.col("__chunk").alias("chunk")).agg(count("written"), count("failed"), count("unprocessed"))
+
+
+@query("SELECT o_orderkey, NULL::VARCHAR AS note FROM orders UNION ALL SELECT o_orderkey + 10000000, 'n' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0")
+def evolve_add_column(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey")
+    new = df.where("o_orderkey % 100 = 0").select((F.col("o_orderkey") + 10000000).alias("o_orderkey"), F.concat(F.lit("n"), F.col("o_orderkey")).alias("Note"))
+    spec = correct.added_spec(new, "Note")
+    wide = mapping.in_order(df, ["o_orderkey", spec.name], {spec.name: spec.type})
+    return wide.unionByName(mapping.rename(new, {"Note": spec.name}))
+
+
+# Cleaning
+
+
+@query(r"SELECT doc_id, len(regexp_replace(regexp_replace(translate(text, 'АВЕКМНОРСТХ“”–', 'ABEKMHOPCTX""-'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'))::BIGINT AS n FROM documents")
+def clean_map_ascii(spark, sf_dir):
+    text = clean_text(F.col("text"), CleaningConfig(normalize=False))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 > 4 THEN event_type END AS t FROM events")
+def clean_na_tokens(spark, sf_dir):
+    df = events_text(spark, sf_dir, t="case event_id % 6 when 0 then 'nan' when 1 then 'None' when 2 then 'NAT' when 3 then 'NAN' when 4 then 'null' else concat(' ', event_type, ' ') end")
+    return df.select("event_id", clean_text(F.col("t"), CleaningConfig(normalize=False)).alias("t"))
+
+
+@query()
+def clean_nfkc(spark, sf_dir):
+    return quick_clean(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Doc ID"), F.substring("text", 1, 200).alias("Head of Text")))
+
+
+@query("SELECT event_id, replace(props, ':', '::') AS props FROM events")
+def replace_map(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", replace_characters(F.col("props"), {":": "::"}).alias("props"))
+
+
+# DDL, pipeline, harness: driver-side text and reports
+
+
+@query()
+def ddl_five_dialects(spark, sf_dir):
+    from . import ddl
+
+    df = read(spark, sf_dir, "customer")
+    made = [(s, ddl.df_ddl(df, "customer", s, ddl.Keys(("c_custkey",))).sql) for s in ("oracle", "sqlite", "mssql", "mysql", "postgres")]
+    return spark.createDataFrame(made, "server string, sql string")
+
+
+@query()
+def schema_json(spark, sf_dir):
+    from . import ddl
+
+    return spark.createDataFrame([(json.dumps(ddl.schema_json(read(spark, sf_dir, "customer"), "customer", "postgres", ddl.Keys(("c_custkey",))), default=str),)], "json string")
+
+
+@query()
+def model_source(spark, sf_dir):
+    from . import ddl
+
+    return spark.createDataFrame([(ddl.model_source(read(spark, sf_dir, "customer").schema, "customer", ddl.Keys(("c_custkey",))),)], "source string")
+
+
+def scratch_store(spark):
+    import tempfile
+    import uuid
+
+    from ..sources.store import Store
+
+    return Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/store-{uuid.uuid4().hex}")
+
+
+@query()
+def pipeline_report(spark, sf_dir):
+    from .pipeline import Config, CsvJob
 
+    store = scratch_store(spark)
+    read(spark, sf_dir, "nation").write.csv(f"{store.root}/in.csv", header=True)
+    report = CsvJob(spark, Config(f"{store.root}/in.csv", "nation"), store).run()
+    return spark.createDataFrame([(r.operation, r.status, r.rows) for r in report.operations], "operation string, status string, rows long")
 
-def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ``orders``."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count("*").alias("n"))
 
+@query()
+def harness_cycle(spark, sf_dir):
+    from .harness import Harness
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"row_count": row_count}
-ORACLE_SQL: dict[str, str] = {"row_count": "SELECT count(*) AS n FROM orders"}
+    df = read(spark, sf_dir, "nation").where("n_nationkey < 10")
+    checks = Harness(df, ["n_nationkey"], ["n_name"], "nation").run(scratch_store(spark))
+    return spark.createDataFrame([(c.step, c.passed, c.message) for c in checks], "step string, passed boolean, message string")

@@ -1 +1 @@
-
+"""Snapshot tables as sinks of Structured Streaming."""
