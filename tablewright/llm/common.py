@@ -48,14 +48,25 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of Arrow data that are turned into Python objects at a time.
+PART_BYTES = 4 << 20
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about PART_BYTES, at least a row each, so that Python holds little beside the batch itself."""
+    for b in batches:
+        step = max(1, b.num_rows * PART_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """``fn`` maps a dict of column lists to a dict of column lists, one Arrow batch at a time."""
+    """``fn`` maps a dict of column lists to a dict of column lists, part by part."""
     out = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(b.to_pydict()), schema=out)
+        for b in parts_of(batches):
+            yield pa.RecordBatch.from_pydict(fn(b.to_pydict()), schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -96,7 +107,7 @@ def filter_batches(docs: DataFrame, keep: Callable[[list], list[bool]]) -> DataF
     """Rows of ``docs``, all columns as they are, of which ``keep`` says True by their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches):
             yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

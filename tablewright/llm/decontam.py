@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, key_columns, map_batches, pa_schema, table, without
+from .common import NO_ID, Scratch, key_columns, map_batches, pa_schema, parts_of, table, without
 
 WINDOW = 10
 SHINGLE = 5
@@ -218,7 +218,7 @@ def contamination(
         prefixes = spark.sparkContext.broadcast(Prefixes(index, {r["s"]: r["count"] for r in own.collect()}))
 
         def run(batches: Iterator[pa.RecordBatch], prefixes=prefixes) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts_of(batches):
                 cols = b.to_pydict()
                 for k, (n, p, s) in enumerate(zip(cols["n_words"], b.column("place"), b.column("shingle"), strict=True)):
                     begins, ends, items = prefixes.value.verify(n, p.values.to_numpy(), s.values.to_numpy())

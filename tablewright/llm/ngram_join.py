@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Scratch, id_and_text, key_columns, keyed, map_batches, table, without
+from .common import Scratch, id_and_text, key_columns, keyed, map_batches, parts_of, table, without
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -64,12 +64,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = S.WordHasher(), np.zeros(S.SKETCH, np.int64)
-        for b in batches:
-            part = []
-            for text in b.column("text"):
-                part.append(S.places(hasher.hashes(text.as_py())))
-            if part:
-                total += np.bincount(np.concatenate(part), minlength=S.SKETCH)
+        for b in parts_of(batches):
+            part = np.concatenate([S.places(hasher.hashes(text)) for text in b.column("text").to_pylist()])
+            total += np.bincount(part, minlength=S.SKETCH)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"place": at.astype(np.int32), "n": total[at]})
 
@@ -88,9 +85,10 @@ def least_common(na: Column, nb: Column, percent: int) -> Column:
 def sets_of(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """Step 2: (doc_id, t, n, d1, d2, prefix, signature) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    memo: dict[bytes, int] = {}
 
     def run(cols: dict) -> dict:
-        hasher = S.WordHasher()
+        hasher = S.WordHasher(memo)
         out: dict = {k: [] for k in ("n", "d1", "d2", "prefix", "signature")}
         for text in cols["text"]:
             words = hasher.hashes(text)
@@ -117,8 +115,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, grams): the whole sets of the documents with these ids."""
     wanted = with_ids(id_and_text(docs), ids)
 
+    memo: dict[bytes, int] = {}
+
     def run(cols: dict) -> dict:
-        hasher = S.WordHasher()
+        hasher = S.WordHasher(memo)
         return {"doc_id": cols["doc_id"], "grams": [S.shingles(hasher.hashes(t), width)[0].view(np.int64) for t in cols["text"]]}
 
     return map_batches(wanted, run, "doc_id long, grams array<long>")
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
         sides = sides.join(grams.select(F.col("doc_id").alias(end), F.col("grams").alias(f"g_{end}")), end)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches):
             keep = []
             for x, y in zip(b.column("g_a"), b.column("g_b"), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()

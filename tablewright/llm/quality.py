@@ -35,14 +35,14 @@ SCALE = 12.0
 ALPHA, BETA, L1, L2 = 0.25, 1.0, 0.002, 0.05
 TOKEN = re.compile(r"\w+|[^\w\s]")
 MASK = np.uint64((1 << BITS) - 1)
-CACHE_MAX = 500_000
+CACHE_MAX = 150_000
 
 
 class Hasher:
     """Text -> hashed feature places, with a bounded memo of word hashes."""
 
-    def __init__(self):
-        self.memo: dict[str, int] = {}
+    def __init__(self, memo: dict[str, int] | None = None):
+        self.memo: dict[str, int] = {} if memo is None else memo
 
     def word(self, w: str) -> int:
         if (h := self.memo.get(w)) is None:
@@ -114,8 +114,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """The weight vector."""
 
+    memo: dict[str, int] = {}
+
     def extract(cols: dict) -> dict:
-        hasher = Hasher()
+        hasher = Hasher(memo)
         return {"doc_id": cols["doc_id"], "label": cols["label"], "places": [hasher.places(t).astype(np.int32) for t in cols["text"]]}
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +143,10 @@ def scorer(docs: DataFrame, weights: np.ndarray) -> Callable[[list], list[float]
     """Texts -> probabilities of label 1, for use on executors."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    memo: dict[str, int] = {}  # one for all parts that a task scores
+
     def run(texts: list) -> list[float]:
-        w, hasher, out = shared.value, Hasher(), []
+        w, hasher, out = shared.value, Hasher(memo), []
         for text in texts:
             places = hasher.places(text)
             dot = w[0] + (SCALE / max(1, len(places))) * float(w[places].sum())

@@ -10,7 +10,7 @@ import xxhash
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Places of the word-count sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 20
-MEMO_MAX = 400_000
+MEMO_MAX = 150_000
 #: Bits of a set's signature: 2**9.
 BITS = 512
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -19,8 +19,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 class WordHasher:
     """Texts to arrays of word hashes. On bytes, lower() changes A-Z alone."""
 
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, memo: dict[bytes, int] | None = None):
+        self.memo: dict[bytes, int] = {} if memo is None else memo
 
     def hashes(self, text: str | None) -> np.ndarray:
         words = WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
@@ -28,7 +28,7 @@ class WordHasher:
         try:
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(memo) > MEMO_MAX:
+            if len(memo) > MEMO_MAX:  # a text's own words stay together until it is done
                 memo.clear()
             for w in words:
                 if w not in memo:
