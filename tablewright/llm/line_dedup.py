@@ -13,8 +13,8 @@ Their union is the union of all maximal repeated runs, less their first copies.
 longest of these runs can't change it, so doubling ends there.
 
 Earlier means a smaller (doc_id, hash of the text, line); null ids come first. Rows that repeat both id and
-text are one document and have the same result. Lines without a word are in no sequence; those inside a
-deleted run go with it. Null texts stay null, empty texts stay empty. Other columns pass through whatever
+text are one document and have the same result. Lines without a word are in no sequence; those between
+two deleted lines go with them. Null texts stay null, empty texts stay empty. Other columns pass through whatever
 their names are. An empty table gives no rows.
 
 Lines meet by their 128-bit hash. Groups are counted before they are joined, a frequent line's suffixes
@@ -120,10 +120,10 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     place = F.struct(*PLACE)
     interval = ["n", "r1", "r2"]
     repeated = both.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = both.join(repeated, interval).where(place > F.col("first")).select("d", "t", "no", "last")
-    order = W.partitionBy("d", "t").orderBy("no", "last")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = later.withColumn("opens", (reach.isNull() | (F.col("no") > reach + 1)).cast("int"))
+    later = both.join(repeated, interval).where(place > F.col("first")).select(*PLACE, "n", "no", "last")
+    order = W.partitionBy("d", "t").orderBy("i", "n")
+    reach = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = later.withColumn("opens", (reach.isNull() | (F.col("i") > reach)).cast("int"))
     opens = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     merged = opens.groupBy("d", "t", "run").agg(F.min("no").alias("first"), F.max("last").alias("last"))
     return merged.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
@@ -141,13 +141,14 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
 
 
 def cleaned(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with later copies deleted from ``text`` (and ``n_chars`` renewed, where there is one).
+    """The columns of ``docs`` with later copies deleted from ``text`` (and ``n_chars`` renewed where a text changed).
     Documents of which no line with a word is left go; those that had none before stay."""
     found = dedup_lines(docs, scratch, min_words)
     found = found.where(F.col("ranges").isNull() | (F.regexp_count("text", F.lit(WORDS)) > 0))
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("ranges").isNull(), F.col("row").getField("n_chars")).otherwise(size)
     return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
