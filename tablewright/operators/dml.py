@@ -143,12 +143,17 @@ def isolated(checked: DataFrame, chunk: int = CHUNK, tolerance: int = TOLERANCE,
 
 
 def stats_of(rows: DataFrame) -> Stats:
-    """Counts by chunk. A chunk that failed without writing a row is an error, as nothing of it was right."""
-    each = rows.groupBy("__chunk").pivot("__status", ["written", "failed", "unprocessed"]).count().na.fill(0).orderBy("__chunk").toLocalIterator()
-    chunks = [ChunkStats(int(r["__chunk"]), r["written"] + r["failed"] + r["unprocessed"], r["written"], r["failed"], r["unprocessed"]) for r in each]
-    out = Stats(sum(c.total for c in chunks), sum(c.success for c in chunks), sum(c.failed for c in chunks), "row" if any(c.failed for c in chunks) else "bulk", chunks)
-    if any(c.failed and not c.success for c in chunks):
-        raise RuntimeError(f"no row could be written: {out}")
+    """Totals, and the chunks that had failures. A chunk that failed without writing a row is an error, as nothing of it was right."""
+    count = lambda s: F.count_if(F.col("__status") == s).alias(s)
+    each = rows.groupBy("__chunk").agg(count("written"), count("failed"), count("unprocessed"))
+    void = F.count_if((F.col("failed") > 0) & (F.col("written") == 0))
+    written, failed, unprocessed, nothing = each.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("written", "failed", "unprocessed")), void).first()
+    out = Stats(written + failed + unprocessed, written, failed, "row" if failed else "bulk")
+    if failed:
+        found = each.where("failed > 0").orderBy("__chunk").toLocalIterator()
+        out.chunks = [ChunkStats(int(r["__chunk"]), r["written"] + r["failed"] + r["unprocessed"], r["written"], r["failed"], r["unprocessed"]) for r in found]
+    if nothing:
+        raise RuntimeError(f"no row of {nothing} chunks could be written: {out}")
     return out
 
 
