@@ -48,6 +48,25 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Most bytes of an Arrow batch between Spark and Python. It bounds what a task holds on either side, whatever the texts' lengths.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def map_in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches. Bounds the session's batch size where it is larger, and gives memory back after each task."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 #: Bytes of Arrow data that are turned into Python objects at a time.
 PART_BYTES = 4 << 20
 
@@ -68,7 +87,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataF
         for b in parts_of(batches):
             yield pa.RecordBatch.from_pydict(fn(b.to_pydict()), schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def pa_schema(ddl: str) -> pa.Schema:
@@ -110,4 +129,4 @@ def filter_batches(docs: DataFrame, keep: Callable[[list], list[bool]]) -> DataF
         for b in parts_of(batches):
             yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, key_columns, map_batches, pa_schema, parts_of, table, without
+from .common import NO_ID, Scratch, key_columns, map_batches, map_in_arrow, pa_schema, parts_of, table, without
 
 WINDOW = 10
 SHINGLE = 5
@@ -227,7 +227,7 @@ def contamination(
                     cols["items"][k] = sorted({*cols["items"][k], *items})
                 yield pa.RecordBatch.from_pydict(cols, schema=pa_schema(SPANS))
 
-        df = df.select(*(x.split()[0] for x in SPANS.split(", "))).mapInArrow(run, SPANS)
+        df = map_in_arrow(df.select(*(x.split()[0] for x in SPANS.split(", "))), run, SPANS)
 
     def summed(cols: dict) -> dict:
         n_hit = [covered(a, b) for a, b in zip(cols["begins"], cols["ends"], strict=True)]

@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Scratch, id_and_text, key_columns, keyed, map_batches, parts_of, table, without
+from .common import Scratch, id_and_text, key_columns, keyed, map_batches, map_in_arrow, parts_of, table, without
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"place": at.astype(np.int32), "n": total[at]})
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "place int, n long")
+    rows = map_in_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "place int, n long")
     found = rows.groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
     total = np.zeros(S.SKETCH, np.int64)
     total[found["place"].to_numpy()] = found["n"].to_numpy()
@@ -197,7 +197,7 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "g_a", "g_b").mapInArrow(exact, "a long, b long").distinct()
+    return map_in_arrow(sides.select("a", "b", "g_a", "g_b"), exact, "a long, b long").distinct()
 
 
 def labelled(postings: DataFrame, groups: DataFrame | None) -> DataFrame:

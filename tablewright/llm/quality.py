@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_batches, id_and_text, map_batches, table
+from .common import filter_batches, id_and_text, map_batches, map_in_arrow, table
 
 BITS = 18
 #: Most labelled documents that training reads: the first by a hash of the id. Bounds the training task and the join's small side.
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
 
     found = map_batches(training_rows(docs, labels, rows), extract, "doc_id long, label int, places array<int>")
     one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label")
-    model = one.mapInArrow(fit, "weights binary").first()
+    model = map_in_arrow(one, fit, "weights binary").first()
     return np.frombuffer(model["weights"], float) if model else np.zeros(1 << BITS)
 
 
