@@ -420,7 +420,9 @@ def evolve_add_column(spark, sf_dir):
 # Cleaning
 
 
-@query(r"SELECT doc_id, len(regexp_replace(regexp_replace(translate(text, 'АВЕКМНОРСТХ“”–', 'ABEKMHOPCTX""-'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'))::BIGINT AS n FROM documents")
+@query(
+    r"""SELECT doc_id, len(regexp_replace(regexp_replace(translate(text, 'АВЕКМНОРСТХ“”–', 'ABEKMHOPCTX""-'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'))::BIGINT AS n FROM documents"""
+)
 def clean_map_ascii(spark, sf_dir):
     text = clean_text(F.col("text"), CleaningConfig(normalize=False))
     return read(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n"))
