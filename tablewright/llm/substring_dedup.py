@@ -21,13 +21,13 @@ join's small side; what adaptive execution splits is the other side.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, key_columns, keyed, map_batches, table
 
@@ -38,7 +38,7 @@ MIN_CHARS = 100
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "d long, t long, digests array<long>, begins array<int>, ends array<int>"
+CHUNKS = "d long, t long, digests array<long>"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -99,50 +99,52 @@ def chunks(text: str | None) -> tuple[list[int], list[int], list[int]]:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(d, t, digests, begins, ends): the key of each document and its chunks."""
-
-    def run(cols: dict) -> dict:
-        found = [chunks(x) for x in cols["text"]]
-        return {"d": cols["d"], "t": cols["t"], **{k: [f[i] for f in found] for i, k in enumerate(("digests", "begins", "ends"))}}
-
-    return map_batches(docs.select(*key_columns(), F.col("text").cast("string").alias("text")), run, CHUNKS)
+    """(d, t, digests): the key of each document and the digests of its chunks, in order."""
+    read = docs.select(*key_columns(), F.col("text").cast("string").alias("text"))
+    return map_batches(read, lambda cols: {"d": cols["d"], "t": cols["t"], "digests": [chunks(x)[0] for x in cols["text"]]}, CHUNKS)
 
 
-def repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, t, n_chunks, n_repeats, spans: array of (begin, end), sources: ids of the documents that hold first copies)."""
-    table_ = scratch.save(chunked(docs))
-    each = table_.select("d", "t", F.posexplode("digests").alias("k", "digest")).where("digest != 0")
+def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, t, n_repeats, runs): for each document with chunks that occur earlier, its runs of adjacent ones, in order:
+    the first chunk a, the last chunk b, and the ids of the documents that hold the first copies."""
+    each = scratch.save(chunked(docs)).select("d", "t", F.posexplode("digests").alias("k", "digest")).where("digest != 0")
     place = F.struct("d", "t", "k")
     # Counting moves digests alone; only chunks whose digest occurs again go further.
     shared = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     again = scratch.save(each.join(shared, "digest"))
     firsts = again.groupBy("digest").agg(F.min(place).alias("first"))
     later = again.join(firsts, "digest").where(place > F.col("first")).select("d", "t", "k", F.col("first.d").alias("source")).dropDuplicates(["d", "t", "k"])
-    # Adjacent chunks of a document make stretches; their code points come from the chunk table.
     island = F.col("k") - F.row_number().over(W.partitionBy("d", "t").orderBy("k"))
     runs = later.withColumn("island", island).groupBy("d", "t", "island").agg(
-        F.min("k").alias("a"), F.max("k").alias("b"), F.array_agg("source").alias("from"), F.count("*").alias("n")
-    )
-    runs = runs.groupBy("d", "t").agg(F.sum("n").alias("n_repeats"), F.collect_list(F.struct("a", "b", "from")).alias("runs"))
-    whole = table_.dropDuplicates(["d", "t"]).join(runs.hint("shuffle_hash"), ["d", "t"], "left")
-    span = lambda r: F.struct(F.get("begins", r["a"]).alias("begin"), F.get("ends", r["b"]).alias("end"), r["from"].alias("from"))
-    spans = F.filter(F.transform(F.coalesce("runs", F.expr("array()")), span), lambda r: r["end"] - r["begin"] >= min_chars)
-    found = whole.select("d", "t", F.size("digests").alias("n_chunks"), F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"), F.sort_array(spans).alias("spans"))
-    return found.select(
-        "d",
-        "t",
-        "n_chunks",
-        "n_repeats",
-        F.transform("spans", lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda r: r["from"])))).alias("sources"),
+        F.min("k").alias("a"), F.max("k").alias("b"), F.collect_set("source").alias("from"), F.count("*").alias("n")
     )
+    return runs.groupBy("d", "t").agg(F.sum("n").alias("n_repeats"), F.sort_array(F.collect_list(F.struct("a", "b", "from"))).alias("runs"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def ends_of_runs(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """Begin and end of each run in code points, from its first and last chunk; null where there is no text."""
+    out = []
+    for t, a, b in zip(text, first, last, strict=True):
+        if t is None:
+            out.append(None)
+            continue
+        _, begins, ends = chunks(t)
+        out.append([x for i, j in zip(a, b, strict=True) for x in (begins[i], ends[j])])
+    return pd.Series(out, dtype=object)
 
 
 def dedup_substrings(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(row, text, spans, sources, n_chunks, n_repeats): each row as it was, and its text without repeated stretches."""
-    found = repeats(docs, scratch, min_chars)
+    """(row, text, n_repeats, spans, sources): each row as it was, its text without repeated stretches, the stretches as
+    (begin, end) in code points, and the ids of the documents that hold their first copies."""
+    joined = keyed(docs).join(repeats(docs, scratch).hint("shuffle_hash"), ["d", "t"], "left")
     text = F.col("row.text").cast("string")
-    joined = keyed(docs).join(found.hint("shuffle_hash"), ["d", "t"], "left")
+    # Texts with runs alone are chunked again, which moves less than carrying all chunks' places along.
+    places = ends_of_runs(F.when(F.col("runs").isNotNull(), text), F.col("runs.a"), F.col("runs.b"))
+    placed = joined.select("row", "n_repeats", "runs", places.alias("places"))
+    spans = F.transform("runs", lambda r, i: F.struct(F.get("places", 2 * i).alias("begin"), F.get("places", 2 * i + 1).alias("end"), r["from"].alias("from")))
+    spans = F.filter(F.coalesce(spans, F.expr("array()")), lambda s: s["end"] - s["begin"] >= min_chars)
+    found = placed.select("row", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"), spans.alias("spans"))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     cut = F.aggregate(
         "spans",
@@ -150,7 +152,13 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHA
         lambda acc, s: F.struct(F.concat(acc["kept"], F.substr(text, acc["at"] + 1, s["begin"] - acc["at"])).alias("kept"), s["end"].alias("at")),
         lambda acc: F.concat(acc["kept"], F.substr(text, acc["at"] + 1)),
     )
-    return joined.select("row", F.when(F.size("spans") > 0, cut).otherwise(text).alias("text"), "spans", "sources", "n_chunks", "n_repeats")
+    return found.select(
+        "row",
+        F.when(F.size("spans") > 0, cut).otherwise(text).alias("text"),
+        "n_repeats",
+        F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["from"])))).alias("sources"),
+    )
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,5 +167,5 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]), F.lit(0).cast("long"))
     spans = F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"], s["end"])), ","), F.lit(""))
     return found.select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), "n_chunks", "n_repeats", removed.alias("n_removed"), spans.alias("spans"), "sources", "text"
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_repeats", removed.alias("n_removed"), spans.alias("spans"), "sources", "text"
     )
