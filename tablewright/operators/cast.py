@@ -78,6 +78,11 @@ def semantic_type(df: DataFrame, name: str, threshold: float = 0.9) -> str:
     return "STRUCTURED_OBJECT" if share is not None and share >= threshold else "STRING_OBJECT"
 
 
+def sample_values(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """Up to ``most`` values that aren't null, the same ones for the same values, in any order of rows."""
+    return df.where(col(name).isNotNull()).select(col(name)).orderBy(F.xxhash64(col(name)), col(name)).limit(most)
+
+
 def measures(name: str, text: Column) -> dict[str, Column]:
     """Shares over non-null values (null where there are none), and null counts before and after each conversion."""
     share = lambda test: F.avg(F.when(text.isNotNull(), test.cast("int")))

@@ -102,9 +102,9 @@ def updated(target: DataFrame, where: Column, values: dict[str, Column]) -> Data
     return target.select(*(F.when(holds, values[c]).otherwise(col(c)).alias(c) if c in values else col(c) for c in target.columns))
 
 
-def reasons(source: DataFrame, schema: TableSchema, target: DataFrame | None, order: str = ORDINAL) -> DataFrame:
-    """``source`` with ``__reasons``: why each row can't be written. Keys are compared for inserts, where ``target`` is given;
-    of rows with equal keys that are good otherwise, the first is good."""
+def reasons(source: DataFrame, schema: TableSchema, target: DataFrame | None, order: str = ORDINAL, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``source`` with ``__reasons``: why each row can't be written. Whole foreign keys are looked up in ``parents``, by table. Keys are
+    compared for inserts, where ``target`` is given; of rows with equal keys that are good otherwise, the first is good."""
     found = []
     for c in schema.columns:
         if c.name not in source.columns:
@@ -114,18 +114,17 @@ def reasons(source: DataFrame, schema: TableSchema, target: DataFrame | None, or
         if c.length is not None:
             found.append(F.when(F.length(col(c.name).cast("string")) > c.length, F.lit(f"{c.name} is too long")))
     df = source.withColumn("__reasons", F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"))
+    for fk in schema.constraints.foreign_keys:
+        if fk.table in (parents or {}) and all(k in df.columns for k in fk.columns):
+            why = F.when(~F.coalesce(F.col("__there"), F.lit(False)) & ~_null_key(df, list(fk.columns)), F.lit(f"key ({', '.join(fk.columns)}) is not in {fk.table}"))
+            df = _looked_up(df, parents[fk.table], fk.columns, fk.references, why)
     if target is None:
         return df
     for key in schema.key_sets():
         if not all(k in df.columns for k in key):
             continue
         label = ", ".join(key)
-        known = target.select(*(col(k).alias(f"__t_{k}") for k in key), F.lit(True).alias("__there")).distinct()
-        on = F.lit(True)
-        for k in key:
-            on = on & (df[f"`{k}`"] == known[f"`__t_{k}`"])
-        df = df.join(known, on, "left").drop(*(f"__t_{k}" for k in key))
-        df = df.withColumn("__reasons", F.when(F.col("__there"), F.array_append("__reasons", F.lit(f"key ({label}) exists"))).otherwise(F.col("__reasons"))).drop("__there")
+        df = _looked_up(df, target, key, key, F.when(F.col("__there"), F.lit(f"key ({label}) exists")))
         good = (F.size("__reasons") == 0) & ~_null_key(df, list(key))
         nth = F.row_number().over(W.partitionBy(*(col(k) for k in key), good).orderBy(order))
         df = df.withColumn("__nth", nth)
@@ -133,6 +132,16 @@ def reasons(source: DataFrame, schema: TableSchema, target: DataFrame | None, or
     return df
 
 
+def _looked_up(df: DataFrame, other: DataFrame, mine, theirs, why: Column) -> DataFrame:
+    """``df`` with ``why``, if it isn't null, among its reasons; ``__there`` says in it whether ``other`` has the row's key."""
+    known = other.select(*(col(k).alias(f"__t_{k}") for k in theirs), F.lit(True).alias("__there")).distinct()
+    on = F.lit(True)
+    for a, b in zip(mine, theirs, strict=True):
+        on = on & (df[f"`{a}`"] == known[f"`__t_{b}`"])
+    joined = df.join(known, on, "left").drop(*(f"__t_{k}" for k in theirs))
+    return joined.withColumn("__reasons", F.array_compact(F.array_append("__reasons", why))).drop("__there")
+
+
 def isolated(checked: DataFrame, chunk: int = CHUNK, tolerance: int = TOLERANCE, order: str = ORDINAL) -> DataFrame:
     """Adds ``__chunk`` and ``__status``: written, failed or unprocessed. No window holds more than a chunk."""
     bad = (F.size("__reasons") > 0).cast("int")
@@ -178,9 +187,13 @@ def _write(store: Store, table: str, rows: DataFrame, then) -> Stats:
     return stats
 
 
+def _parents(store: Store, schema: TableSchema) -> dict[str, DataFrame]:
+    return {fk.table: store.read(fk.table) for fk in schema.constraints.foreign_keys if store.exists(fk.table)}
+
+
 def insert(store: Store, data, table: str, chunk: int = CHUNK, tolerance: int = TOLERANCE, order_by: list[str] | None = None) -> Stats:
     df, schema = _prepared(store, data, table, order_by)
-    rows = isolated(reasons(df, schema, store.read(table)), chunk, tolerance)
+    rows = isolated(reasons(df, schema, store.read(table), parents=_parents(store, schema)), chunk, tolerance)
     return _write(store, table, rows, lambda old, new: old.unionByName(new.drop(ORDINAL), allowMissingColumns=True))
 
 
@@ -190,7 +203,7 @@ def upsert(store: Store, data, table: str, keys: list[str], chunk: int = CHUNK,
         raise ValueError(f"unknown dialect: {dialect!r}")
     df, schema = _prepared(store, data, table, order_by)
     key = schema.key_sets()[0] if dialect in ("mysql", "mariadb") and schema.key_sets() else validate.conflict_key(keys, schema)
-    rows = isolated(reasons(df, schema, None), chunk, tolerance)
+    rows = isolated(reasons(df, schema, None, parents=_parents(store, schema)), chunk, tolerance)
     return _write(store, table, rows, lambda old, new: upserted(old, new, list(key)))
 
 

@@ -15,6 +15,7 @@ from ..functions import parse
 from ..functions.clean import CleaningConfig, clean_text, quick_clean, replace_characters
 from ..functions.types import ColumnSpec, ForeignKey, Logical, schema_of
 from ..operators import cast, coerce, correct, dml, mapping, outliers, predicate, profile, validate
+from ..sources.store import Store
 
 FLAGSHIP = "where_expr_and_or"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,6 +418,14 @@ def evolve_add_column(spark, sf_dir):
     return wide.unionByName(mapping.rename(new, {"Note": spec.name}))
 
 
+@query("SELECT o_orderkey, o_orderkey % 50 = 0 AS orphan FROM orders")
+def reject_orphans(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 10000000).otherwise(0)).alias("o_custkey"))
+    specs = schema_of(df.schema, foreign_keys=[ForeignKey(("o_custkey",), "customer", ("c_custkey",))])
+    rows = dml.reasons(df, specs, None, parents={"customer": read(spark, sf_dir, "customer")})
+    return rows.select("o_orderkey", (F.size("__reasons") > 0).alias("orphan"))
+
+
 # Cleaning
 
 
@@ -470,20 +479,11 @@ def model_source(spark, sf_dir):
     return spark.createDataFrame([(ddl.model_source(read(spark, sf_dir, "customer").schema, "customer", ddl.Keys(("c_custkey",))),)], "source string")
 
 
-def scratch_store(spark):
-    import tempfile
-    import uuid
-
-    from ..sources.store import Store
-
-    return Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/store-{uuid.uuid4().hex}")
-
-
 @query()
 def pipeline_report(spark, sf_dir):
     from .pipeline import Config, CsvJob
 
-    store = scratch_store(spark)
+    store = Store.sandbox(spark)
     read(spark, sf_dir, "nation").write.csv(f"{store.root}/in.csv", header=True)
     report = CsvJob(spark, Config(f"{store.root}/in.csv", "nation"), store).run()
     return spark.createDataFrame([(r.operation, r.status, r.rows) for r in report.operations], "operation string, status string, rows long")
@@ -494,5 +494,5 @@ def harness_cycle(spark, sf_dir):
     from .harness import Harness
 
     df = read(spark, sf_dir, "nation").where("n_nationkey < 10")
-    checks = Harness(df, ["n_nationkey"], ["n_name"], "nation").run(scratch_store(spark))
+    checks = Harness(df, ["n_nationkey"], ["n_name"], "nation").run(Store.sandbox(spark))
     return spark.createDataFrame([(c.step, c.passed, c.message) for c in checks], "step string, passed boolean, message string")

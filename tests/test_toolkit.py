@@ -310,6 +310,16 @@ def test_insert_isolates_rows(spark, store):
     assert (stats.total, stats.success, stats.failed) == (10, 6, 2)
 
 
+def test_foreign_keys_reject(spark, store):
+    store.create("city", schema_of(spark.createDataFrame([], "name string").schema), spark.createDataFrame([("Paris",)], "name string"))
+    schema = TableSchema(USERS.columns, Constraints(("id",), (), (ForeignKey(("city",), "city", ("name",)),)))
+    store.create("users", schema)
+    stats = dml.insert(store, spark.createDataFrame([(1, "a", "Paris"), (2, "b", "Rome"), (3, "c", None)], "id long, username string, city string"), "users")
+    assert (stats.success, stats.failed) == (2, 1) and values(store.read("users"), "id") == [(1,), (3,)]
+    assert Store.sandbox(spark).tables() == []
+    assert cast.sample_values(store.read("users"), "city", 5).count() == 1
+
+
 def test_insert_without_a_good_row_fails(spark, store):
     store.create("users", USERS)
     with pytest.raises(RuntimeError):
