@@ -92,10 +92,11 @@ def sets_of(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
         out: dict = {k: [] for k in ("n", "d1", "d2", "prefix", "signature")}
         for text in cols["text"]:
             words = hasher.hashes(text)
-            found, begins = S.shingles(words, width)
+            h = S.hashes(words, width)
+            found = S.distinct(h)
             n, prefix = len(found), np.zeros(0, np.uint64)
             if n and percent * (n + 1) <= 100 * n:  # smaller sets link with equal ones alone
-                prefix = S.rare_first(words, found, begins, width, shared.value)[: n - -(-n * percent // 100) + 1]
+                prefix = S.rarest(words, h, width, shared.value, n - -(-n * percent // 100) + 1, len(h) - n)
             d1, d2 = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
             for k, v in (("n", n), ("d1", d1), ("d2", d2), ("prefix", prefix.view(np.int64)), ("signature", S.signature(found))):
                 out[k].append(v)
@@ -119,7 +120,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def run(cols: dict) -> dict:
         hasher = S.WordHasher(memo)
-        return {"doc_id": cols["doc_id"], "grams": [S.shingles(hasher.hashes(t), width)[0].view(np.int64) for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "grams": [S.distinct(S.hashes(hasher.hashes(t), width)).view(np.int64) for t in cols["text"]]}
 
     return map_batches(wanted, run, "doc_id long, grams array<long>")
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Places of the word-count sketch: a fixed size, whatever the corpus.
 SKETCH = 1 << 20
 MEMO_MAX = 150_000
@@ -17,13 +14,13 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHasher:
-    """Texts to arrays of word hashes. On bytes, lower() changes A-Z alone."""
+    """Texts to arrays of word hashes. On bytes, lower() changes A-Z alone, and split() splits at U+0020 and U+0009 to U+000D alone."""
 
     def __init__(self, memo: dict[bytes, int] | None = None):
         self.memo: dict[bytes, int] = {} if memo is None else memo
 
     def hashes(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         memo = self.memo
         try:
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -41,10 +38,10 @@ def places(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def shingles(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending, and where each first begins. Fewer words than ``width`` make one shingle."""
+def hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the shingle that begins at each place. Fewer words than ``width`` make one shingle."""
     if not len(words):
-        return words, np.zeros(0, np.int64)
+        return words
     wide = min(width, len(words))
     n = len(words) - wide + 1
     h = np.full(n, np.uint64(wide), np.uint64)
@@ -52,18 +49,28 @@ def shingles(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ words[i : i + n]) * M1
         h ^= h >> np.uint64(32)
     h *= M2
-    h ^= h >> np.uint64(31)
-    return np.unique(h, return_index=True)
+    return h ^ (h >> np.uint64(31))
 
 
-def rare_first(words: np.ndarray, found: np.ndarray, begins: np.ndarray, width: int, sketch: np.ndarray) -> np.ndarray:
-    """The shingles ordered by the count of their rarest word, which bounds their own count, then by hash."""
-    counts = sketch[places(words)]
-    wide = min(width, len(words))
-    bound = counts[begins]
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Distinct hashes, ascending."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
+def rarest(words: np.ndarray, h: np.ndarray, width: int, sketch: np.ndarray, n: int, repeats: int) -> np.ndarray:
+    """The first ``n`` distinct shingles by the count of their rarest word, which bounds their own count, then by hash.
+    ``repeats``: how many places hold a shingle that an earlier one holds."""
+    counts, wide = sketch[places(words)], min(width, len(words))
+    bound = counts[: len(h)]
     for i in range(1, wide):
-        bound = np.minimum(bound, counts[begins + i])
-    return found[np.lexsort((found, bound))]
+        bound = np.minimum(bound, counts[i : i + len(h)])
+    # as many places as hold n distinct shingles whatever repeats, with all that tie with the last
+    enough = min(len(h), n + repeats)
+    near = np.flatnonzero(bound <= np.partition(bound, enough - 1)[enough - 1])
+    order = near[np.lexsort((h[near], bound[near]))]
+    found = h[order]
+    return found[np.append(True, found[1:] != found[:-1])][:n]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
