@@ -84,8 +84,9 @@ def shortest_runs(level: DataFrame, min_words: int) -> DataFrame:
     # Begins and ends of lines as events on the count of words. Forward: the first end at or after a begin + min_words.
     # Backward: the last begin at or before an end - min_words.
     line = F.struct("i", "no")
-    begin, end, none = F.col("begin"), F.col("end"), F.lit(None)
-    events = lambda at_begin, at_end: F.explode(F.array(F.struct(at_begin.alias("at"), F.lit(0).alias("kind"), line.alias("line")), F.struct(at_end.alias("at"), F.lit(1).alias("kind"), line.alias("line"))))
+    begin, end = F.col("begin"), F.col("end")
+    event = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), line.alias("line"))
+    events = lambda at_begin, at_end: F.explode(F.array(event(at_begin, 0), event(at_end, 1)))
     order = W.partitionBy(*own).orderBy("x.at", "x.kind", "x.line")
     forward = level.select(*own, events(begin + min_words, end).alias("x"))
     ends = F.min(F.when(F.col("x.kind") == 1, F.col("x.line"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))

@@ -3,10 +3,11 @@
 A gear hash rolls over the bytes of a text: h = (h << 1) + GEAR[byte], in 32 bits, so a value depends on the
 last 32 bytes alone. A chunk ends at the first white space at or after a place where h falls under a limit,
 on average each MEAN bytes, so the ends depend on the content next to them: an insertion changes the chunks
-around it and no others. A chunk of over MOST bytes, as in periodic text, ends at its smallest hashes too. Every chunk has a digest of its words. Of all chunks of one digest the first is
-kept, by (doc_id, hash of the text, chunk number); later ones repeat it. Stretches of adjacent repeats are
-cut where they are MIN_CHARS code points long or more, so a passage is found wherever it stands in a text,
-and a short common phrase is left alone.
+around it and no others. A chunk of over MOST bytes, as in periodic text, ends at its smallest hashes too.
+Every chunk has a 64-bit digest of its words. Of all chunks of one digest the first is kept, by (doc_id, hash
+of the text, chunk number); later ones repeat it. Stretches of adjacent repeats are cut where they are
+MIN_CHARS code points long or more, so a passage is found wherever it stands in a text, and neither a short
+common phrase nor two chunks that share a digest by chance are cut.
 
 The gear hash of a whole text is computed in five doubling steps on arrays: the sum over 2k bytes is the sum
 over k bytes plus that of the k bytes before, shifted.
