@@ -445,7 +445,7 @@ def clean_na_tokens(spark, sf_dir):
 
 @query()
 def clean_nfkc(spark, sf_dir):
-    return quick_clean(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Doc ID"), F.substring("text", 1, 200).alias("Head of Text")))
+    return quick_clean(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Doc ID"), F.col("text").alias("Full Text")))
 
 
 @query("SELECT event_id, replace(props, ':', '::') AS props FROM events")
