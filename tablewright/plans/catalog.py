@@ -167,10 +167,10 @@ def pk_single_orders(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) = count(DISTINCT (l_extendedprice, l_shipdate)) AS holds, 'l_extendedprice,l_shipdate' AS components FROM lineitem")
 def pk_composite_lineitem(spark, sf_dir):
+    # The SQL names the components of sf0.01; where these repeat, the search goes on and the result has more than the SQL.
     df = read(spark, sf_dir, "lineitem")
     key = profile.infer_key(df)
-    found = key.components[:2]
-    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(profile.is_key(df, found)).alias("holds"), F.lit(",".join(found)).alias("components"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(key.unique).alias("holds"), F.lit(",".join(key.components)).alias("components"))
 
 
 SAMPLE_SQL = """SELECT o_orderkey, o_totalprice FROM (
