@@ -2,8 +2,11 @@
 
 A gear hash rolls over the bytes of a text: h = (h << 1) + GEAR[byte], in 32 bits, so a value depends on the
 last 32 bytes alone. A chunk ends at the first white space at or after a place where h falls under a limit,
-on average each MEAN bytes, so the ends depend on the content next to them: an insertion changes the chunks
-around it and no others. A chunk of over MOST bytes, as in periodic text, ends at its smallest hashes too.
+on average each MEAN bytes, or at that place itself, after its character, if no white space begins within REACH
+bytes: so the ends depend on the content next to them, with or without white space, and an insertion changes the
+chunks around it and no others. A chunk of over MOST bytes ends at its smallest hashes too, again and again. Where
+the last 32 bytes repeat those of up to 32 bytes before and no white space is near, the hash tells no place from the
+next, so none of these is an end; such periodic stretches alone are cut each MOST bytes from where they begin.
 Every chunk has a 64-bit digest of its words. Of all chunks of one digest the first is kept, by (doc_id, hash
 of the text, chunk number); later ones repeat it. Stretches of adjacent repeats are cut where they are
 MIN_CHARS code points long or more, so a passage is found wherever it stands in a text, and neither a short
@@ -13,8 +16,8 @@ The gear hash of a whole text is computed in five doubling steps on arrays: the
 over k bytes plus that of the k bytes before, shifted.
 
 Null and empty texts have no chunks. Chunks of white space alone are never repeats. Null ids come first in the
-order and are kept. Rows that repeat both id and text are one document, with the same result. Texts without a
-white space are cut each MOST bytes. Other columns pass through whatever their names. Empty tables give no rows.
+order and are kept. Rows that repeat both id and text are one document, with the same result. Other columns pass
+through whatever their names. Empty tables give no rows.
 
 Digests are counted before they meet rows, so a passage that a third of all documents share is one row of the
 join's small side; what adaptive execution splits is the other side.
@@ -34,6 +37,7 @@ from .common import Scratch, key_columns, keyed, map_batches, table
 
 MEAN = 32
 MOST = 256
+REACH = 64
 MIN_CHARS = 100
 #: The gear table: a random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -53,10 +57,26 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def after_space(data: np.ndarray, cut: np.ndarray, spaces: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Ends of the first runs of white space at or after places."""
+def places_to_end(data: np.ndarray, cut: np.ndarray, spaces: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks end for places: after the next run of white space if it is near, else after the character there; and if it is near."""
     k = np.searchsorted(spaces, cut)
-    return last[np.searchsorted(last, spaces[k[k < len(spaces)]])] + 1
+    near = k < len(spaces)
+    near[near] = spaces[k[near]] - cut[near] <= REACH
+    ends = cut + 1
+    ends[near] = last[np.searchsorted(last, spaces[k[near]])] + 1
+    far = np.flatnonzero(~near & (ends < len(data)))
+    while len(far := far[(data[ends[far]] & 0xC0) == 0x80]):  # not inside a character
+        ends[far] += 1
+        far = far[ends[far] < len(data)]
+    return ends, near
+
+
+def periodic(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the hash at places was there up to 32 bytes before."""
+    found = np.zeros(len(at), bool)
+    for back in range(1, 33):
+        found |= (at >= back) & (h[np.maximum(at - back, 0)] == h[at])
+    return found
 
 
 def chunk_ends(raw: bytes, mean: int = MEAN, most: int = MOST) -> np.ndarray:
@@ -65,16 +85,29 @@ def chunk_ends(raw: bytes, mean: int = MEAN, most: int = MOST) -> np.ndarray:
     h = gear_hashes(data)
     spaces = np.flatnonzero(SPACE[data])
     last = spaces[np.flatnonzero(np.append(np.diff(spaces) != 1, True))] if len(spaces) else spaces
-    ends = np.unique(np.append(after_space(data, np.flatnonzero(h < np.uint32((1 << 32) // mean)), spaces, last), len(data)))
-    if (wide := long_ones(ends, most)) and len(spaces):
-        more = [a + np.flatnonzero(h[a:b] == h[a + 32 : b].min()) for a, b in wide]
-        ends = np.union1d(ends, after_space(data, np.concatenate(more), spaces, last))
-    if wide := long_ones(ends, most):
-        forced = np.concatenate([np.arange(a + most, b, most) for a, b in wide])
-        while (inside := (data[forced] & 0xC0) == 0x80).any():  # not inside a character
-            forced = forced - inside
-        ends = np.union1d(ends, forced)
-    return ends
+    cut = np.flatnonzero(h < np.uint32((1 << 32) // mean))
+    ends, near = places_to_end(data, cut, spaces, last)
+    if not near.all():
+        near[~near] = ~periodic(h, cut[~near])
+        ends = ends[near]
+    ends = np.unique(np.append(ends, len(data)))
+    more, wide = [], long_ones(ends, most)
+    while wide:
+        a, b = wide.pop()
+        at = np.arange(a, b)
+        to, fit = places_to_end(data, at, spaces, last)
+        if not fit.all():
+            fit[~fit] = ~periodic(h, at[~fit])
+        fit &= to < b
+        if fit[32:].any():
+            new = np.unique(to[fit & (h[a:b] == h[a + 32 : b][fit[32:]].min())])
+            wide += [(int(x), int(y)) for x, y in zip(np.append(a, new), np.append(new, b), strict=True) if y - x > most]
+        else:
+            new = np.arange(a + most, b, most)
+            while (inside := (data[new] & 0xC0) == 0x80).any():  # not inside a character
+                new = new - inside
+        more.append(new)
+    return np.unique(np.concatenate([ends, *more]))
 
 
 def long_ones(ends: np.ndarray, most: int) -> list[tuple[int, int]]:

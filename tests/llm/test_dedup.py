@@ -162,6 +162,62 @@ def test_chunks_resist_shifts():
     assert len(set(a) - set(b)) <= 3
 
 
+def texts_without_blanks(rnd):
+    """Texts of at least 6,000 characters by kind: CJK, Thai, base64, code and data on one line, no white space in them."""
+    pick = lambda chars, n=6000: "".join(rnd.choice(chars) for _ in range(n))
+    return {
+        "cjk": pick([chr(x) for x in range(0x4E00, 0x5200)]),
+        "thai": pick([chr(x) for x in range(0x0E01, 0x0E2F)]),
+        "base64": pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        "code": "".join(f"function f{rnd.randrange(10_000)}(a){{return a+{rnd.randrange(1000)};}}" for _ in range(200)),
+        "data": "".join(f'{{"id":{rnd.randrange(10**6)},"v":[{rnd.randrange(100)},{rnd.randrange(100)}]}},' for _ in range(250)),
+        "emoji": pick([chr(x) for x in range(0x1F600, 0x1F640)]),
+    }
+
+
+@pytest.mark.parametrize("kind", ["cjk", "thai", "base64", "code", "data", "emoji"])
+@pytest.mark.parametrize("at", [0, 1, 3000])
+def test_chunks_resist_shifts_without_blanks(kind, at):
+    text = texts_without_blanks(random.Random(20))[kind]
+    a, b = (substring_dedup.chunks(x)[0] for x in (text, text[:at] + "x" + text[at:]))
+    assert len(a) > 100 and len(set(a) - set(b)) <= 5
+    # a passage at another offset, in a text of one blank far off
+    moved = substring_dedup.chunks("Q" * 7 + text[1500:4500] + "z" * 900 + " end")[0]
+    inside = substring_dedup.chunks(text[1500:4500])[0]
+    assert len(set(inside) - set(moved)) <= 8 and len(set(inside) - set(a)) <= 8
+
+
+def test_wide_chunks_resist_shifts_without_blanks():
+    """Whatever the hashes, also where none falls under the limit."""
+    raw = texts_without_blanks(random.Random(21))["base64"].encode()
+    pieces = lambda x, ends: {x[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)}
+    a, b = (pieces(x, substring_dedup.chunk_ends(x, mean=1 << 20).tolist()) for x in (raw, b"12345" + raw))
+    assert max(map(len, a)) <= substring_dedup.MOST and len(a - b) <= 4
+
+
+def test_periodic_stretches_have_few_chunks():
+    for unit in ["a", "=", "ab", "é", "漢字", "-=+*", *(chr(x) for x in range(33, 127))]:
+        text = unit * (6000 // len(unit))
+        digests, begins, ends = substring_dedup.chunks(text)
+        assert len(digests) < 150 and "".join(text[a:b] for a, b in zip(begins, ends, strict=True)) == text
+        assert max(len(text[a:b].encode()) for a, b in zip(begins, ends, strict=True)) <= substring_dedup.MOST + 3
+
+
+def test_substring_dedup_without_blanks(spark):
+    texts = texts_without_blanks(random.Random(22))
+    other = texts_without_blanks(random.Random(23))
+    docs = []
+    for i, kind in enumerate(texts):
+        docs += [(2 * i, texts[kind]), (2 * i + 1, other[kind][:777] + texts[kind][2001:2801] + other[kind][777:1500])]
+    got = {r["row"]["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "test")).collect()}
+    for i, t in docs:
+        cut = sum(s["end"] - s["begin"] for s in got[i]["spans"])
+        if i % 2:
+            assert cut > 600 and all(s["begin"] >= 700 and s["end"] <= 1650 for s in got[i]["spans"]) and got[i]["sources"] == [i - 1]
+        else:
+            assert cut == 0 and got[i]["text"] == t
+
+
 def test_substring_dedup(spark):
     rnd = random.Random(9)
     prose = lambda n: " ".join(f"w{rnd.randrange(100_000)}" for _ in range(n))
