@@ -10,7 +10,9 @@ next, so none of these is an end; such periodic stretches alone are cut each MOS
 Every chunk has a 64-bit digest of its words. Of all chunks of one digest the first is kept, by (doc_id, hash
 of the text, chunk number); later ones repeat it. Stretches of adjacent repeats are cut where they are
 MIN_CHARS code points long or more, so a passage is found wherever it stands in a text, and neither a short
-common phrase nor two chunks that share a digest by chance are cut.
+common phrase nor two chunks that share a digest by chance are cut. A text that is shorter than that has a digest
+of all its words besides, which other such texts alone share: a later exact copy of it is cut whole, whatever its
+length, while a short text that only stands within another stays.
 
 The gear hash of a whole text is computed in five doubling steps on arrays: the sum over 2k bytes is the sum
 over k bytes plus that of the k bytes before, shifted.
@@ -43,7 +45,9 @@ MIN_CHARS = 100
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "d long, t long, digests array<long>"
+CHUNKS = "d long, t long, digests array<long>, short long"
+#: The chunk number of a short text as a whole: apart from chunk 0, so that no run joins the two.
+WHOLE = -2
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -132,16 +136,28 @@ def chunks(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return digests, at(begins), at(ends)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(d, t, digests): the key of each document and the digests of its chunks, in order."""
+def short_digest(text: str | None, min_chars: int = MIN_CHARS) -> int | None:
+    """A digest of all words of a text that has some and is too short for a run."""
+    words = (text or "").encode("utf-8", "surrogatepass").split() if len(text or "") < min_chars else []
+    return xxhash.xxh3_64_intdigest(b" ".join(words), seed=1) - (1 << 63) if words else None
+
+
+def chunked(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(d, t, digests, short): the key of each document, the digests of its chunks, in order, and that of a short text."""
     read = docs.select(*key_columns(), F.col("text").cast("string").alias("text"))
-    return map_batches(read, lambda cols: {"d": cols["d"], "t": cols["t"], "digests": [chunks(x)[0] for x in cols["text"]]}, CHUNKS)
+
+    def found(cols):
+        return {"d": cols["d"], "t": cols["t"], "digests": [chunks(x)[0] for x in cols["text"]], "short": [short_digest(x, min_chars) for x in cols["text"]]}
+
+    return map_batches(read, found, CHUNKS)
 
 
-def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, t, n_repeats, runs): for each document with chunks that occur earlier, its runs of adjacent ones, in order:
-    the first chunk a, the last chunk b, and the ids of the documents that hold the first copies."""
-    each = scratch.save(chunked(docs)).select("d", "t", F.posexplode("digests").alias("k", "digest")).where("digest != 0")
+    the first chunk a, the last chunk b, and the ids of the documents that hold the first copies. A short text's copy has
+    the run from WHOLE to WHOLE first."""
+    each = scratch.save(chunked(docs, min_chars)).select("d", "t", F.size("digests").alias("n"), F.posexplode(F.array_append("digests", F.col("short"))).alias("k", "digest"))
+    each = each.where("digest != 0").select("d", "t", F.when(F.col("k") < F.col("n"), F.col("k")).otherwise(WHOLE).alias("k"), "digest")
     place = F.struct("d", "t", "k")
     # Counting moves digests alone; only chunks whose digest occurs again go further.
     shared = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -152,7 +168,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     runs = later.withColumn("island", island).groupBy("d", "t", "island").agg(
         F.min("k").alias("a"), F.max("k").alias("b"), F.collect_set("source").alias("from"), F.count("*").alias("n")
     )
-    return runs.groupBy("d", "t").agg(F.sum("n").alias("n_repeats"), F.sort_array(F.collect_list(F.struct("a", "b", "from"))).alias("runs"))
+    return runs.groupBy("d", "t").agg(F.sum(F.when(F.col("a") >= 0, F.col("n")).otherwise(0)).alias("n_repeats"), F.sort_array(F.collect_list(F.struct("a", "b", "from"))).alias("runs"))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -164,20 +180,20 @@ def ends_of_runs(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Serie
             out.append(None)
             continue
         _, begins, ends = chunks(t)
-        out.append([x for i, j in zip(a, b, strict=True) for x in (begins[i], ends[j])])
+        out.append([x for i, j in zip(a, b, strict=True) for x in ((begins[i], ends[j]) if i >= 0 else (0, ends[-1]))])
     return pd.Series(out, dtype=object)
 
 
 def dedup_substrings(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, text, n_repeats, spans, sources): each row as it was, its text without repeated stretches, the stretches as
     (begin, end) in code points, and the ids of the documents that hold their first copies."""
-    joined = keyed(docs).join(repeats(docs, scratch).hint("shuffle_hash"), ["d", "t"], "left")
+    joined = keyed(docs).join(repeats(docs, scratch, min_chars).hint("shuffle_hash"), ["d", "t"], "left")
     text = F.col("row.text").cast("string")
     # Texts with runs alone are chunked again, which moves less than carrying all chunks' places along.
     places = ends_of_runs(F.when(F.col("runs").isNotNull(), text), F.col("runs.a"), F.col("runs.b"))
     placed = joined.select("row", "n_repeats", "runs", places.alias("places"))
-    spans = F.transform("runs", lambda r, i: F.struct(F.get("places", 2 * i).alias("begin"), F.get("places", 2 * i + 1).alias("end"), r["from"].alias("from")))
-    spans = F.filter(F.coalesce(spans, F.expr("array()")), lambda s: s["end"] - s["begin"] >= min_chars)
+    spans = F.transform("runs", lambda r, i: F.struct(F.get("places", 2 * i).alias("begin"), F.get("places", 2 * i + 1).alias("end"), r["from"].alias("from"), (r["a"] == WHOLE).alias("whole")))
+    spans = F.filter(F.coalesce(spans, F.expr("array()")), lambda s: s["whole"] | (s["end"] - s["begin"] >= min_chars))
     found = placed.select("row", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"), spans.alias("spans"))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     cut = F.aggregate(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tablewright.llm import line_dedup, ngram_join, shingles, substring_dedup
-from tablewright.llm.common import Scratch
+from tablewright.llm.common import NO_ID, Scratch
 from tablewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -235,3 +235,17 @@ def test_substring_dedup(spark):
         else:
             assert got[i]["text"] == t and not got[i]["spans"]
     assert substring_dedup.dedup_substrings(docs.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_substring_dedup_short_copies(spark):
+    short = "Thank you for reading, see you on Monday."
+    texts = ["One " + short + " Two", short, short, f"\n {short.replace(' ', '  ')}\n", "ok", "ok", "好的", "好的", short + " Not a copy", " ", " ", "", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (1, short), (None, "ok")], "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.dedup_substrings(docs, Scratch(spark, "test")).collect():
+        got.setdefault(r["row"]["doc_id"], []).append((r["text"], [(s["begin"], s["end"]) for s in r["spans"]], r["sources"]))
+    copies = {2: [1], 3: [1], 4: [NO_ID], 5: [NO_ID], 7: [6]}
+    for i, t in enumerate(texts):
+        want = ("", [(0, len(t))], copies[i]) if i in copies else (docs.where(f"doc_id = {i}").first()["text"], [], [])
+        assert all(g == want for g in got[i]) and len(got[i]) == 1 + (i == 1), (i, got[i], want)
+    assert got[None] == [("ok", [], [])]
