@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, URL schemes, plus signs and
-dots before digits, digit pairs, and identifier cues. A deterministic parser for each kind then expands
+dots before digits, digit pairs, and identifier cues in any case of A-Z. A deterministic parser for each kind then expands
 from the anchor to both sides and validates what it found. Expansion is bounded by the previous match of
 the same kind, which makes the matches the leftmost non-overlapping ones of the kind's pattern.
 
@@ -35,10 +35,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@")
+LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]++@")
 IBAN = re.compile(r"[:#\s]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-SSN = re.compile(r"(?: (?:no|number)\.?)?[:#\s]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-ACCOUNT = re.compile(r"(?: (?:no|number|nr|num)\.?)?[:#\s]{0,3}([0-9]{6,17})(?![0-9])")
+SSN = re.compile(r"(?: (?i:no|number)\.?)?[:#\s]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+ACCOUNT = re.compile(r"(?: (?i:no|number|nr|num)\.?)?[:#\s]{0,3}([0-9]{6,17})(?![0-9])")
 
 
 @cache
@@ -55,12 +55,16 @@ def automaton() -> ahocorasick.Automaton:
                 a.add_word(f"{d}{mid}{e}", ("card", 2 + len(mid)))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+def folded(text: str) -> str:
+    """The text with A-Z in lower case, as long as before: bytes fold these alone."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -79,7 +83,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     after = dict.fromkeys(found, 0)
-    for end, (kind, width) in automaton().iter(text):
+    for end, (kind, width) in automaton().iter(folded(text)):
         at, bound = end - width + 1, after[kind]
         if at < bound:
             continue
@@ -110,7 +114,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found[kind].append(m.span())
         elif kind == "login":
-            if m := LOGIN.match(text, end + 1, end + 257):
+            if m := LOGIN.match(text, end + 1):
                 after[kind] = m.end()
                 found[kind].append((m.start(), m.end() - 1))
         else:

@@ -172,3 +172,17 @@ def test_queries_on_the_test_tables(spark, name):
             assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
         else:
             assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_base(t)
+
+
+def test_pii_logins_of_any_length_and_cues_in_any_case():
+    token = "T0ken" * 200
+    for part in ("user:" + token, token + ":pw", "u:p"):
+        text = f"see https://{part}@host.example/x and https://plain.example/{token} then"
+        assert [text[a:b] for a, b in pii.find_spans(text)["login"]] == [part]
+    assert not pii.find_spans(f"https://user:{token} me@host.example, ftp://user:{token}/a@b")["login"]
+    for text in ("Account No. 12345678", "ACCOUNT NUMBER: 12345678", "aCCount nUM 12345678", "İ KONTO Nr. 12345678", "account no 12345678", "Acct 12345678"):
+        assert [text[a:b] for a, b in pii.find_spans(text)["account"]] == ["12345678"], text
+    for text in ("Social Security 123-45-6789", "social SECURITY Number: 123-45-6789", "SsN No. 123-45-6789", "ẞ Social security NO 123-45-6789"):
+        assert [text[a:b] for a, b in pii.find_spans(text)["ssn"]] == ["123-45-6789"], text
+    text = "iBaN: DE89 3704 0044 0532 0130 00"
+    assert [text[a:b] for a, b in pii.find_spans(text)["iban"]] == ["DE89 3704 0044 0532 0130 00"]
