@@ -186,3 +186,11 @@ def test_pii_logins_of_any_length_and_cues_in_any_case():
         assert [text[a:b] for a, b in pii.find_spans(text)["ssn"]] == ["123-45-6789"], text
     text = "iBaN: DE89 3704 0044 0532 0130 00"
     assert [text[a:b] for a, b in pii.find_spans(text)["iban"]] == ["DE89 3704 0044 0532 0130 00"]
+
+
+def test_rules_of_four_tokens(spark):
+    four = ["host:a", "host:b", "host:c", "path:d"]
+    rows = [(four, "block")] * 100 + [([x for x in four if x != y], "allow") for y in four for _ in range(30)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = {(tuple(r["tokens"]), r["label"]): r["confidence"] for r in url_filter.mine(labelled).collect()}
+    assert rules == {(tuple(four), url_filter.BLOCK): 1.0}
