@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,26 +11,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share. Where the session names none, a folder of our own, on a single machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables of one run, written to the shared folder so that lost executors cost no recomputation."""
+    """Intermediate tables of one run, written to the shared folder so that lost executors cost no recomputation. Results are lazy and
+    read them, so they go when the application ends, or by ``drop`` and ``clear`` before."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a reader of what was written; lineage ends there."""
@@ -42,10 +54,31 @@ class Scratch:
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._at(df._scratch_path)
+            fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Delete all tables of the run."""
+        fs, path = self._at(self.root)
+        fs.delete(path, True)
+
+
+#: A key that has more than this share of all rows is hot. As shares sum up to 1, there are fewer than HOT_KEYS hot ones, whatever the rows.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """``rows`` joined with ``counted``, which has a row for each key and in ``count`` how many of ``rows`` have it. Hot keys are
+    broadcast, at most HOT_KEYS of them, so their rows stay where they are; no other key has a share of note. Both are read
+    more than once, so they should be tables."""
+    total, most = counted.agg(F.sum(count), F.max(count)).first()
+    if not total or most * HOT_KEYS <= total:
+        return rows.join(counted, keys)
+    is_hot = F.col(count) * HOT_KEYS > F.lit(total)
+    hot, cold = counted.where(is_hot), counted.where(~is_hot)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 #: Most bytes of an Arrow batch between Spark and Python. It bounds what a task holds on either side, whatever the texts' lengths.
@@ -94,6 +127,7 @@ def pa_schema(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
         "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+        "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import decontam, mixing, ngram_join, quality
+from tablewright.llm import shingles as S
 from tablewright.llm.common import Scratch
 from tablewright.llm.registry import ORACLE_SQL, QUERIES
 
@@ -83,18 +84,21 @@ def plain_contamination(text, items, window=10):
     return len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(map(str, owners))).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [200_000, 40])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("broadcast,bits", [(50_000, 28), (0, 28), (50_000, 6)])
+def test_decontamination(spark, broadcast, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", broadcast)
+    if bits < 16:  # nearly every shingle passes the bitmap
+        monkeypatch.setattr(decontam.Bitmap, "of", staticmethod(lambda tokens, n: decontam.Bitmap(bits, np.full(1, ~np.uint64(0)))))
     rnd = random.Random(3)
     vocabulary = "a b c É ñ9 d".split()
     rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60)))) for i in range(120)] + [(None, "a b"), (500, None), (501, "A-B c"), (502, ""), (0, "a")]
     items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 14])))) for i in range(30)] + [(3, "b c"), (None, "a"), (8, None)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, items int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, Scratch(spark, "test"), block=block)
+    got = decontam.contamination(docs, bench, Scratch(spark, "test"))
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted([(i, *plain_contamination(t, items)) for i, t in rows], key=repr)
-    if block > 40:
+    if broadcast and bits == 28:
         left = decontam.clean(docs, bench, Scratch(spark, "test"))
         assert left.columns == docs.columns
         assert sorted(map(tuple, left.select("doc_id", "text").collect()), key=repr) == sorted([(i, t) for i, t in rows if not plain_contamination(t, items)[4]], key=repr)
@@ -103,11 +107,46 @@ def test_decontamination(spark, block):
 
 
 def test_prefix_is_the_rarest_shingle():
-    index = decontam.Index(0)
-    index.add(1, "a b c d e f g h i j".encode().split(), 10, 5)
-    (key,) = index.windows
-    found = decontam.Prefixes(index, {s: 1 if s == key[3] else 9 for s in key}).windows
-    assert list(found) == [key[3]] and found[key[3]][0][0] == 3
+    words = S.WordHasher().hashes("a b c d e f g h i j k")
+    counts = np.zeros(S.SKETCH, np.int64)
+    counts[S.places(words)] = [9, 9, 9, 1, 9, 9, 9, 9, 9, 9, 2]
+    h = S.hashes(words, 5)
+    token, at, size, wide = decontam.prefixes(words, counts, 10, 5)
+    assert (size, wide) == (10, 5)
+    # of the shingles with word d, or with k for the last window, the one of the smallest hash
+    for k, (t, p) in enumerate(zip(token.tolist(), at.tolist(), strict=True)):
+        rare = [i for i in range(k, k + 6) if i <= 3]
+        assert t == h[k + p] == min(h[i] for i in rare)
+
+
+def test_repeated_shingles_in_a_window_take_the_first():
+    words = S.WordHasher().hashes("a a a a a a a a a a b")
+    token, at, _, _ = decontam.prefixes(words, np.zeros(S.SKETCH, np.int64), 10, 5)
+    same = S.hashes(words, 5)[0]
+    assert all(p == 0 for t, p in zip(token, at, strict=True) if t == same)
+
+
+def test_decontamination_of_very_long_texts(spark):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
+    long_word = "x" * 5_000
+    items = [(1, prose(30_000)), (2, "same " * 20_000), (3, f"{long_word} b"), (4, f"{long_word}y b")]
+    texts = [prose(20_000) + " " + " ".join(items[0][1].split()[12_000:12_030]) + " " + prose(20_000), "same " * 30_000, f"a {long_word} b c", "Z" * 200_000, "a\n" * 50_000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "test")).collect()}
+    assert got == {0: (40_030, 30, [1]), 1: (30_000, 30_000, [2]), 2: (4, 2, [3]), 3: (1, 0, []), 4: (50_000, 0, [])}
+
+
+def test_decontamination_reads_documents_in_one_stage(spark):
+    """However many windows there are, a document goes through one Python worker that looks for them."""
+    rnd = random.Random(6)
+    items = spark.createDataFrame([(i, " ".join(f"v{rnd.randrange(5_000)}" for _ in range(40))) for i in range(2_000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"v{rnd.randrange(5_000)}" for _ in range(50))) for i in range(20)], "doc_id long, text string")
+    plan = decontam.contamination(docs, items, Scratch(spark, "test"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 0  # what is left reads tables
+    tokens = decontam.Bitmap.of(spark.range(5).withColumnRenamed("id", "token"), 5)
+    assert decontam.places_of(docs, tokens, [5], 10, 5)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {0, 1, 2, 3, 4} <= set(tokens.holds(np.arange(5, dtype=np.uint64)).tolist())
 
 
 # Mixing

@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import line_dedup, ngram_join, shingles, substring_dedup
-from tablewright.llm.common import NO_ID, Scratch
+from tablewright.llm.common import NO_ID, Scratch, join_counted
 from tablewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +102,7 @@ def near_copies(seed, n=160):
 def test_ngram_join(spark, seed, width, percent, monkeypatch):
     if seed == 4:  # hot lists: small windows, several rounds, joins instead of broadcasts
         monkeypatch.setattr(ngram_join, "CHUNK", 7)
+        monkeypatch.setattr(ngram_join, "BLOCK", 5)
         monkeypatch.setattr(ngram_join, "ENOUGH", 0)
         monkeypatch.setattr(ngram_join, "SHRINK", 1.0)
         monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
@@ -122,13 +124,73 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.keep_one(docs.limit(0), Scratch(spark, "test")).columns == docs.columns
 
 
+def test_ngram_join_ids_of_several_texts(spark):
+    """Texts that share an id don't link what they don't match."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one + " z"), (3, two + " z"), (4, two)], "doc_id long, text string")
+    membership, links = ngram_join.join(docs, Scratch(spark, "test"))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in membership.collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 36, 1)] and links.count() == 2
+    other = spark.createDataFrame([(5, one), (5, two), (6, one + " z"), (0, two + " z")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(other, Scratch(spark, "test"))[0].collect()) == [(0, 0), (5, 0), (5, 5), (6, 5)]
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    rnd = random.Random(7)
+    words = [f"w{rnd.randrange(9_000)}" for _ in range(30_000)]
+    near = list(words)
+    for k in range(0, 30_000, 400):
+        near[k] = "changed"
+    far = list(words)
+    rnd.shuffle(far)
+    docs = spark.createDataFrame([(3, " ".join(words)), (4, " ".join(near)), (5, " ".join(far)), (6, "x" * 300_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, Scratch(spark, "test"))[0].collect()}
+    assert got == {3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_hot_shingle_spreads(spark, monkeypatch):
+    """A shingle that all documents share, of which none match, leaves no large task in the last round."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    members = spark.range(3_000).select(F.col("id").alias("rid"), F.lit(12).alias("n"), F.array(*(F.xxhash64(F.lit(k), "id") for k in range(8))).alias("brief"))
+    members = members.withColumn("signature", F.col("brief"))
+    postings = members.select(F.lit(7).cast("long").alias("token"), "rid", "n", F.lit(0).alias("pos"), F.col("rid").alias("c"), (F.col("rid") == 0).alias("major"), F.lit(3_000).cast("long").alias("cnt"), F.lit(1).cast("long").alias("k_major"))
+    # 30 blocks on each side: no key holds more than two blocks of rows
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ngram_join.remaining_pairs(postings, members, 85)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(token#\d+L?, band#\d+, i#\d+L?, j#\d+L?", plan) or "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert ngram_join.remaining_pairs(postings, members, 85).count() == 0
+
+
+def test_join_counted_broadcasts_hot_keys_alone(spark):
+    rows = Scratch(spark, "test").save(spark.range(9_000).select((F.when(F.col("id") < 3_000, 1).otherwise(F.col("id"))).alias("k"), "id"))
+    counted = Scratch(spark, "test").save(rows.groupBy("k").agg(F.count("*").alias("n")))
+    got = join_counted(rows, counted, ["k"])
+    assert got.count() == 9_000 and got.where("k = 1 and n != 3000 or k > 1 and n != 1").count() == 0
+    assert join_counted(rows.limit(0), counted.limit(0), ["k"]).count() == 0
+
+
 def test_signatures_bound_differences():
     rnd = np.random.default_rng(5)
     for _ in range(200):
         x = np.unique(rnd.integers(0, 1 << 63, rnd.integers(1, 800), dtype=np.uint64) * np.uint64(2))
         y = np.unique(np.concatenate([rnd.choice(x, len(x) // 2), rnd.integers(0, 1 << 63, 20, dtype=np.uint64)]))
-        bits = sum(int(a).bit_count() for a in (shingles.signature(x) ^ shingles.signature(y)).view(np.uint64))
-        assert bits <= len(np.setxor1d(x, y))
+        for bits in (512, 1024, 4096):
+            one, other = shingles.signature(x, bits), shingles.signature(y, bits)
+            differ = sum(int(a).bit_count() for a in (one ^ other).view(np.uint64))
+            assert differ <= len(np.setxor1d(x, y))
+            half = len(one) // 2  # folded, it is the signature of half as many bits
+            assert bits == 512 or (one[:half] ^ one[half:] == shingles.signature(x, bits // 2)).all()
+
+
+def test_signatures_reject_unlike_sets_of_any_size():
+    rnd = np.random.default_rng(6)
+    for n in (100, 1_600, 3_157, 20_000):
+        x, y = (np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in "xy")
+        one, other = shingles.signature(x), shingles.signature(y)
+        assert len(one) * 64 >= n and sum(int(a).bit_count() for a in (one ^ other).view(np.uint64)) > 2 * n - 2 * np.ceil(2 * n * 85 / 185)
 
 
 def test_components(spark):
