@@ -127,7 +127,7 @@ def pa_schema(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
         "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-        "array<string>": pa.list_(pa.string()),
+        "array<string>": pa.list_(pa.string()), "array<float>": pa.list_(pa.float32()),
     }
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 

@@ -17,9 +17,12 @@ text are one document and have the same result. Lines without a word are in no s
 two deleted lines go with them. Null texts stay null, empty texts stay empty. Other columns pass through whatever
 their names are. An empty table gives no rows.
 
-Lines meet by their 128-bit hash. Groups are counted before they are joined, a frequent line's suffixes
-join by their place, and places within an interval are summed up in blocks of BLOCK, so no step brings a
-frequent line or a large group of copies into one task.
+A very long text is one row of lines until these are split; a document's lines are in one task where its ranges are
+merged, by sorts that may spill.
+
+Lines meet by their 128-bit hash. Groups are counted before they are joined, by ``join_counted``, which broadcasts the few
+large ones; a frequent line's suffixes join by their place, and places within an interval are summed up in blocks of BLOCK,
+so no step brings a frequent line or a large group of copies into one task.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, table
+from .common import Scratch, join_counted, keyed, table
 
 MIN_WORDS = 30
 BLOCK = 1 << 16
@@ -54,24 +57,28 @@ def starts(groups: DataFrame, within: list[str], block: Column, order: list[str]
     return inner.join(bases, [*within, "block"]).withColumn("before", F.col("base") + F.col("inside")).drop("block", "base", "inside")
 
 
-def first_level(lines: DataFrame) -> DataFrame:
+def first_level(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Suffixes whose first line is repeated, ranked by it: (d, t, i, no, words, rank)."""
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     # hashes are even over their 2**16 blocks; the blocks themselves are summed up as one small group
     ranked = starts(ids.withColumn("all", F.lit(0)), ["all"], F.shiftright("h1", 48), ["h1", "h2"])
-    found = lines.join(ranked.select("h1", "h2", F.col("before").alias("rank")), ["h1", "h2"])
+    ranked = scratch.save(ranked.select("h1", "h2", "n", F.col("before").alias("rank")))
+    found = join_counted(lines, ranked, ["h1", "h2"])
     # rows that repeat id and text have the same places, which count once from here on
     return found.select(*PLACE, "no", "words", "rank").dropDuplicates(PLACE)
 
 
-def next_level(level: DataFrame, width: int) -> DataFrame:
+def next_level(level: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(d, t, i, rank) by twice the lines, of the suffixes that repeat that far."""
     a = level.select(*PLACE, "rank")
     b = level.select("d", "t", (F.col("i") - width).cast("int").alias("i"), F.col("rank").alias("then"))
-    pairs = a.join(b, PLACE)
+    pairs = scratch.save(a.join(b, PLACE))
     groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1")
     ranked = starts(groups, ["rank"], F.expr(f"then div {BLOCK}"), ["then"])
-    return pairs.join(ranked.select("rank", "then", (F.col("rank") + F.col("before")).alias("new")), ["rank", "then"]).select(*PLACE, F.col("new").alias("rank"))
+    ranked = scratch.save(ranked.select("rank", "then", "n", (F.col("rank") + F.col("before")).alias("new")))
+    found = scratch.save(join_counted(pairs, ranked, ["rank", "then"]).select(*PLACE, F.col("new").alias("rank")))
+    scratch.drop(pairs, ranked)
+    return found
 
 
 def shortest_runs(level: DataFrame, min_words: int) -> DataFrame:
@@ -101,13 +108,13 @@ def shortest_runs(level: DataFrame, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, ranges): the line numbers [first, last] to delete from each document that has any, merged and in order."""
     lines = scratch.save(lines_of(docs))
-    level = scratch.save(first_level(lines))
+    level = scratch.save(first_level(lines, scratch))
     runs = scratch.save(shortest_runs(level, min_words))
     scratch.drop(lines)
     longest = runs.agg(F.max("n")).first()[0] or 1
     ranks, k = [level.select(*PLACE, F.lit(0).alias("k"), "rank")], 0
     while 2 << k <= longest:
-        level = scratch.save(next_level(level, 1 << k))
+        level = next_level(level, 1 << k, scratch)
         k += 1
         ranks.append(level.select(*PLACE, F.lit(k).alias("k"), "rank"))
     rank = ranks[0]
@@ -120,8 +127,8 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     both = scratch.save(both.select(*PLACE, "n", "no", "last", "r1", "r2"))
     place = F.struct(*PLACE)
     interval = ["n", "r1", "r2"]
-    repeated = both.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = both.join(repeated, interval).where(place > F.col("first")).select(*PLACE, "n", "no", "last")
+    repeated = both.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = join_counted(both, scratch.save(repeated), interval, "copies").where(place > F.col("first")).select(*PLACE, "n", "no", "last")
     order = W.partitionBy("d", "t").orderBy("i", "n")
     reach = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = later.withColumn("opens", (reach.isNull() | (F.col("i") > reach)).cast("int"))

@@ -3,13 +3,16 @@
 A text becomes hashed word unigrams and bigrams. Words are lower-cased; a word in capitals, a word equal
 to the one before and each punctuation mark give tokens of their own, so that n-grams also show shouting,
 stutter and symbol noise. A feature's value is its share of the text's n-grams times SCALE. Training runs
-over a bounded sample of labelled rows, which one task holds; scoring is a sparse dot product with a dense
-weight vector of fixed size (2**BITS doubles), the only thing that is broadcast.
-
-Null and empty texts have the bias feature alone and score what it says. Without any usable label all
-weights are 0 and every score is 0.5. Labels other than 0 and 1, and those of a null id, are not used; a
-document with several labels counts as 1 where their mean is at least 0.5. Rows of documents are kept one
-to one; a null id counts as not held out. Language, source, id and labels are never features.
+over a bounded sample of labelled rows, which one task holds: at most TRAIN_ROWS ids, one text for each, and at most
+TRAIN_FEATURES features of them all. Scoring is a sparse dot product with a dense
+weight vector of fixed size (2**BITS doubles), the only thing that is broadcast beside the sample's ids.
+
+Null and empty texts have the bias feature alone and score what it says. Very long texts are read whole. Without any usable
+label, and in an empty table, all weights are 0 and every score is 0.5. Labels other than 0 and 1, and those of a null id, are
+not used; a document with several labels counts as 1 where their mean is at least 0.5. Of an id with several texts, training
+reads the one of the smallest hash; equal texts are one. Rows of documents are kept one
+to one; a null id counts as not held out. Language, source, id and labels are never features. Other columns are not read by
+``classify``, whatever their names; ``good`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import filter_batches, id_and_text, map_batches, map_in_arrow, tabl
 BITS = 18
 #: Most labelled documents that training reads: the first by a hash of the id. Bounds the training task and the join's small side.
 TRAIN_ROWS = 16_000
+#: Most features, over all texts, that the training task holds, in 8 bytes each; texts that come after are not read. Bounds its memory where texts are long.
+TRAIN_FEATURES = 16_000_000
 EPOCHS = 3
 SCALE = 12.0
 #: FTRL-proximal: learning rate and its smoothing, L1 and L2 strength.
@@ -102,38 +107,44 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out third."""
+    """(doc_id, text, label, h), all rows of at most ``rows`` labelled ids outside the held-out third; h is a hash of the text."""
     quality = F.col("quality").cast("int")
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), quality.alias("quality"))
     marked = marked.where(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("id")))
     chosen = marked.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # At most ``rows`` ids are on the small side, so it may be broadcast.
-    return id_and_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+    return id_and_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_FEATURES) -> np.ndarray:
     """The weight vector."""
 
     memo: dict[str, int] = {}
 
     def extract(cols: dict) -> dict:
-        hasher = Hasher(memo)
-        return {"doc_id": cols["doc_id"], "label": cols["label"], "places": [hasher.places(t).astype(np.int32) for t in cols["text"]]}
+        hasher, out = Hasher(memo), {k: cols[k] for k in ("doc_id", "label", "h")} | {"places": [], "values": []}
+        for text in cols["text"]:
+            at, x = features(hasher.places(text))
+            out["places"].append(at.astype(np.int32))
+            out["values"].append(x.astype(np.float32))
+        return out
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, held = [], 0
         for b in batches:
-            values, ends = b.column("places").values.to_numpy(), b.column("places").offsets.to_numpy()
-            for i, y in enumerate(b.column("label").to_pylist()):
-                at, x = features(values[ends[i] : ends[i + 1]])
-                rows.append((at.astype(np.int32), x.astype(np.float32), float(y)))
+            for at, x, y in zip(b.column("places"), b.column("values"), b.column("label").to_pylist(), strict=True):
+                held += len(at.values)
+                if held <= most:  # copies, as a part of a batch would keep it whole
+                    rows.append((at.values.to_numpy().copy(), x.values.to_numpy().copy(), float(y)))
         model = Ftrl.empty()
         for epoch in range(EPOCHS):
             for k in np.random.default_rng(epoch).permutation(len(rows)):
                 model.update(*rows[k])
         yield pa.RecordBatch.from_pydict({"weights": [model.weights().tobytes()]}, schema=pa.schema([("weights", pa.binary())]))
 
-    found = map_batches(training_rows(docs, labels, rows), extract, "doc_id long, label int, places array<int>")
+    found = map_batches(training_rows(docs, labels, rows), extract, "doc_id long, label int, h long, places array<int>, values array<float>")
+    # Rows that repeat an id are combined before they are shuffled, so one for each id reaches the task that trains.
+    found = found.groupBy("doc_id", "label").agg(F.min_by(F.struct("places", "values"), "h").alias("x")).select("doc_id", "label", "x.places", "x.values")
     one = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label")
     model = map_in_arrow(one, fit, "weights binary").first()
     return np.frombuffer(model["weights"], float) if model else np.zeros(1 << BITS)

@@ -1,14 +1,17 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is content-addressed (SHA-256 of its text). The ledger holds one row per blob
-and rule version that was scanned, with its findings. A run scans only the pairs that the ledger lacks,
-one representative row of each blob, appends them to the ledger, and joins the findings back to all paths
-that carry the blob.
-
-Only ids and digests are grouped, so a blob that a third of all paths share costs no more than another;
-its findings are joined back by a join that adaptive execution splits. Null texts count as empty. Rows
-with a null id are kept and joined by their digest. Repeated rows are scanned once and all returned.
-Other columns are not read.
+Every version of every path is content-addressed: its blob is the SHA-256 of its text. The ledger is a folder of two tables
+that rows are only ever added to. ``paths`` has a row for each version of each path, with its blob. ``blobs`` has a row for each
+blob and rule version that was scanned, with its findings. A run adds the versions that the ledger lacks, scans the blobs
+that it lacks under the rules' version, each once, adds them, and joins the findings back to all paths that carry them.
+A run that fails on its way has added nothing or whole blobs, so it may be tried again. One run at a time writes a ledger.
+
+Texts are combined by blob before they are shuffled, so a blob that a third of all paths share is moved once for each task
+that reads it, and scanned once; its findings meet its paths by ``join_counted``. Null texts count as empty, and their
+blob is that of the empty text. A null path, or version, is a path or version like others. Where versions have no
+column ``version``, a path's blob tells its versions apart. Repeated rows are one version, scanned once, and all are returned.
+Texts of any length are scanned whole. Without rows nothing is scanned or returned. Other columns are not read, so their names can't
+clash.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, table
+from .common import Scratch, join_counted, map_batches, table
 
 BASE = ("assign", "access", "hex")
 ADDED = ("pem", "jwt", "forge", "slack")
@@ -33,6 +36,10 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 SLACK = re.compile(r"xox[abprs]-[0-9A-Za-z-]{10,}")
 RULE_VERSION = hashlib.sha256("\n".join(r.pattern for r in (ASSIGN, ACCESS, HEX, PEM, JWT, FORGE, SLACK)).encode()).hexdigest()[:16]
+#: Setting of the session that names the folder of a kept ledger.
+LEDGER_AT = "spark.tablewright.secrets.ledger"
+PATHS = "path long, version string, blob string"
+KEY = ["path", "version", "blob"]
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -77,28 +84,49 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return map_batches(blobs, run, LEDGER)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``versions``: (path long, text). Returns the findings of every path, and the rows to append to the ledger."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    addressed = versions.select("path", text.alias("text"), F.sha2(text, 256).alias("blob"))
-    unseen = addressed.select("path", "blob")
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
-        unseen = unseen.join(known, "blob", "left_anti")
-    # One representative path for each unseen blob. Repeated rows of a path may hold several versions: its blob is part of the key.
-    chosen = unseen.groupBy("blob").agg(F.min("path").alias("path"))
-    once = addressed.alias("v").join(
-        chosen.alias("c").hint("shuffle_hash"), F.col("v.path").eqNullSafe(F.col("c.path")) & (F.col("v.blob") == F.col("c.blob")), "left_semi"
-    )
-    fresh = scratch.save(scan_blobs(once.select("blob", "text")))
-    seen = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(fresh.columns))
-    # Rows of one path and blob that repeat are scanned by each; the ledger counts once.
-    seen = seen.dropDuplicates(["blob"])
-    return addressed.select("path", "blob").join(seen, "blob", "left").drop("rule_version"), fresh
+class Ledger:
+    """The tables ``paths`` (path, version, blob) and ``blobs`` (LEDGER) below a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def paths(self) -> DataFrame:
+        return self._read("paths", PATHS)
+
+    def blobs(self) -> DataFrame:
+        return self._read("blobs", LEDGER)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def scan(self, versions: DataFrame, scratch: Scratch) -> DataFrame:
+        """``versions``: (path long, text, and version if there is one). Brings the ledger up to date and returns the findings of every row."""
+        version = F.col("version").cast("string") if "version" in versions.columns else F.lit(None).cast("string")
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        addressed = versions.select(F.col("path").cast("long").alias("path"), version.alias("version"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+        ids = scratch.save(addressed.select(*KEY))
+        new, old = ids.distinct().alias("v"), self.paths().alias("k")
+        same = [F.col(f"v.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KEY]
+        self.add("paths", new.join(old, same[0] & same[1] & same[2], "left_anti"))
+
+        counts = scratch.save(ids.groupBy("blob").agg(F.count("*").alias("n")))
+        known = self.blobs().where(F.col("rule_version") == RULE_VERSION).select("blob")
+        unseen = counts.join(known, "blob", "left_anti")
+        if not unseen.isEmpty():
+            texts = addressed.groupBy("blob").agg(F.first("text").alias("text"))
+            self.add("blobs", scan_blobs(texts.join(unseen.select("blob"), "blob", "left_semi")))
+        found = scratch.save(counts.join(self.blobs().where(F.col("rule_version") == RULE_VERSION).drop("rule_version"), "blob"))
+        return join_counted(ids, found, ["blob"]).drop("n")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text of ``documents``, scanned through a ledger that starts empty."""
+    """Secrets in every whole text of ``documents``, scanned through the ledger that the session's LEDGER_AT names, or a new one."""
+    scratch = Scratch(spark, "secret-ledger")
+    ledger = Ledger(spark, spark.conf.get(LEDGER_AT, None) or f"{scratch.root}/ledger")
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), F.col("text").cast("string").alias("text"))
-    found, _ = scan_versions(versions, None, Scratch(spark, "secret-ledger"))
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
+    return ledger.scan(versions, scratch).select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")

@@ -21,8 +21,9 @@ Null and empty texts have no chunks. Chunks of white space alone are never repea
 order and are kept. Rows that repeat both id and text are one document, with the same result. Other columns pass
 through whatever their names. Empty tables give no rows.
 
-Digests are counted before they meet rows, so a passage that a third of all documents share is one row of the
-join's small side; what adaptive execution splits is the other side.
+A very long text is chunked whole, by one row of a task; its chunks are one row each from there on.
+Digests are counted before they meet rows, and meet them by ``join_counted``: a passage that a third of all documents share
+is a row of its broadcast side. A stretch's ids of first copies are a set of at most as many as the stretch has chunks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, key_columns, keyed, map_batches, table
+from .common import Scratch, join_counted, key_columns, keyed, map_batches, table
 
 MEAN = 32
 MOST = 256
@@ -160,10 +161,10 @@ def repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> Da
     each = each.where("digest != 0").select("d", "t", F.when(F.col("k") < F.col("n"), F.col("k")).otherwise(WHOLE).alias("k"), "digest")
     place = F.struct("d", "t", "k")
     # Counting moves digests alone; only chunks whose digest occurs again go further.
-    shared = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    again = scratch.save(each.join(shared, "digest"))
-    firsts = again.groupBy("digest").agg(F.min(place).alias("first"))
-    later = again.join(firsts, "digest").where(place > F.col("first")).select("d", "t", "k", F.col("first.d").alias("source")).dropDuplicates(["d", "t", "k"])
+    shared = scratch.save(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+    again = scratch.save(join_counted(each, shared, ["digest"]).drop("n"))
+    firsts = scratch.save(again.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    later = join_counted(again, firsts, ["digest"]).where(place > F.col("first")).select("d", "t", "k", F.col("first.d").alias("source")).dropDuplicates(["d", "t", "k"])
     island = F.col("k") - F.row_number().over(W.partitionBy("d", "t").orderBy("k"))
     runs = later.withColumn("island", island).groupBy("d", "t", "island").agg(
         F.min("k").alias("a"), F.max("k").alias("b"), F.collect_set("source").alias("from"), F.count("*").alias("n")

@@ -2,10 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -47,6 +48,61 @@ def test_training_never_reads_held_out_labels(spark):
     assert quality.training_rows(docs, labels, 5).count() == 5
 
 
+def plain_training(rows):
+    """FTRL-proximal on dicts of places, an example at a time; ``rows`` in the order of training."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            x, y = rows[k]
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(weight(i) * v for i, v in x.items())))))
+            for i, v in x.items():
+                w, g = weight(i), (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_equals_a_plain_loop(spark):
+    docs, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    texts, hasher = {r["doc_id"]: r["text"] for r in docs.collect()}, quality.Hasher()
+    order = [r["doc_id"] for r in spark.createDataFrame([(d,) for d in texts], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    rows = []
+    for d in order:
+        if d in marks and d in texts:
+            count = Counter(hasher.places(texts[d]).tolist())
+            rows.append(({0: 1.0} | {i: float(np.float32(k * quality.SCALE / sum(count.values()))) for i, k in count.items()}, marks[d]))
+    want, got = plain_training(rows), quality.train(docs, labels)
+    assert len(rows) > 30 and all(abs(got[i] - w) < 1e-9 for i, w in want.items()) and not got[sorted(set(range(len(got))) - set(want))].any()
+    scored = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    for d, text in texts.items():
+        count = Counter(hasher.places(text).tolist())
+        dot = want.get(0, 0) + sum(want.get(i, 0) * k * quality.SCALE / sum(count.values()) for i, k in count.items())
+        assert scored[d] == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-6)
+
+
+def test_training_bounds_hold(spark, monkeypatch):
+    """Ids that repeat bring one text each, and features have a bound beside rows."""
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(4) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    updates = []
+
+    def weights(most, rows=2):
+        return quality.train(docs, labels, rows, most)
+
+    chosen = quality.training_rows(docs, labels, 2).select("doc_id").distinct().count()
+    assert chosen == 2 and np.count_nonzero(weights(1 << 20)) <= 2 * 6
+    one = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    assert (quality.train(one, labels, 2) == weights(1 << 20)).all()  # as if each id had one text
+    assert not weights(3).any() and weights(1 << 20).any() and not updates
+
+
 def test_ftrl_is_a_logistic_regression():
     rng, model = np.random.default_rng(1), quality.Ftrl.empty()
     for _ in range(2_000):
@@ -65,6 +121,8 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs.limit(0), odd).count() == 0
     wide = docs.withColumns({"score": F.lit(1), "row": F.lit("r")})
     assert quality.good(wide, none).columns == wide.columns and quality.good(wide, none).count() == 6
+    clash = docs.withColumns({c: F.lit("c") for c in ("score", "h", "label", "id", "places", "values")})
+    assert quality.classify(clash, odd).count() == 6
 
 
 # Decontamination

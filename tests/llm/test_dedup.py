@@ -311,3 +311,48 @@ def test_substring_dedup_short_copies(spark):
         want = ("", [(0, len(t))], copies[i]) if i in copies else (docs.where(f"doc_id = {i}").first()["text"], [], [])
         assert all(g == want for g in got[i]) and len(got[i]) == 1 + (i == 1), (i, got[i], want)
     assert got[None] == [("ok", [], [])]
+
+
+def plain_substrings(rows, min_chars=100):
+    """Chunks of whole documents in order of (id, hash of the text); stretches of chunks seen before are cut from ``min_chars`` on."""
+    seen, short_seen, out = set(), set(), {}
+    for key, text in rows:
+        digests, begins, ends = substring_dedup.chunks(text)
+        again = [d != 0 and d in seen for d in digests]
+        own = set()
+        for k, d in enumerate(digests):
+            again[k] = again[k] or (d != 0 and d in own)
+            own.add(d)
+        spans, k = [], 0
+        short = substring_dedup.short_digest(text, min_chars)
+        if short is not None and short in short_seen:
+            spans = [(0, len(text))]
+        while k < len(digests):
+            j = k
+            while j < len(digests) and again[j]:
+                j += 1
+            if j > k and ends[j - 1] - begins[k] >= min_chars:
+                spans.append((begins[k], ends[j - 1]))
+            k = max(j, k + 1)
+        seen |= own
+        short_seen.add(short)
+        cut, at = "", 0
+        for a, b in spans:
+            cut, at = cut + text[at:a], b
+        out[key] = (sum(again), spans, None if text is None else cut + text[at:])
+    return out
+
+
+def test_substring_dedup_by_force(spark):
+    rnd = random.Random(31)
+    prose = lambda n: " ".join(f"w{rnd.randrange(3_000)}" for _ in range(n))
+    passages = [prose(rnd.choice([8, 20, 60, 150])) for _ in range(8)]
+    texts = [" ".join([prose(rnd.randrange(40)), *rnd.sample(passages, rnd.randrange(4)), prose(rnd.randrange(40))]) for _ in range(150)]
+    texts += [prose(9), None, "", " \n ", "é" * 400, prose(3_000) + " " + passages[3] * 300]
+    texts += [texts[150], texts[5], "x" * 100_000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, digest string")
+    got = {r["row"]["doc_id"]: (r["n_repeats"], [(s["begin"], s["end"]) for s in r["spans"]], r["text"]) for r in substring_dedup.dedup_substrings(docs, Scratch(spark, "test")).collect()}
+    want = plain_substrings(list(enumerate(texts)))
+    for i in want:
+        assert got[i] == want[i], i
+    assert sum(bool(spans) for _, spans, _ in want.values()) > 50
