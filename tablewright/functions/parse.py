@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 CAST_TRUE, CAST_FALSE = ("true", "yes", "y", "t", "1", "on"), ("false", "no", "n", "f", "0", "off")
 BOOL_TRUE, BOOL_FALSE = ("true", "t", "1", "yes", "y", "on"), ("false", "f", "0", "no", "n", "off")
 STRICT_TRUE, STRICT_FALSE = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+#: Characters that amounts may hold beside the number, and shapes of dates that aren't ISO.
 CURRENCY = r"[$€£¥₹,\s]"
 DATE_PATTERNS = ("dd/MM/yyyy", "yyyyMMdd", "MMM d yyyy")
 #: Exact integers beyond what a double holds go by this type.
@@ -50,6 +51,19 @@ def to_timestamp(text: Column, patterns: tuple[str, ...] = DATE_PATTERNS) -> Col
     return F.coalesce(iso, *others)
 
 
+#: The end of an ISO time that says how far it is from UTC.
+OFFSET = r"[ T]\d{1,2}:.*(Z|[+-]\d{1,2}(:?\d{2})?)$"
+
+
+def to_utc(text: Column) -> Column:
+    """As ``to_timestamp``; a time with an offset is moved to UTC, one without is UTC already."""
+    bare = F.trim(text)
+    # an instant, as the session's zone shows it, and back to UTC
+    shown = F.when(bare.rlike(OFFSET), F.regexp_replace(bare, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    moved = F.to_utc_timestamp(shown, F.current_timezone()).cast("timestamp_ntz")
+    return F.when(bare.rlike(OFFSET), moved).otherwise(to_timestamp(text))
+
+
 def json_valid(text: Column) -> Column:
     """Whether a text is JSON; null for null."""
     return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull() & (F.trim(text) != ""))

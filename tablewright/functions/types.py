@@ -34,6 +34,8 @@ class ColumnSpec:
     tag: str | None = None
     writeable: bool = True
     has_server_default: bool = False
+    #: Of a column with the tag ``identity``: the first number that rows without one get.
+    start: int = 1
 
 
 @dataclass(frozen=True)
@@ -129,4 +131,10 @@ def schema_of(struct: T.StructType, primary_key=(), unique=(), foreign_keys=())
 
 
 def struct_of(schema: TableSchema) -> T.StructType:
-    return T.StructType([T.StructField(c.name, T.DataType.fromDDL(c.type), True) for c in schema.columns])
+    """Files that lack a column with a default are read as if they had it."""
+    return T.StructType([T.StructField(c.name, T.DataType.fromDDL(c.type), True, {"EXISTS_DEFAULT": _literal(c)} if c.default is not None else None) for c in schema.columns])
+
+
+def _literal(c: ColumnSpec) -> str:
+    text = str(c.default).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'" if c.type == "string" else f"CAST('{text}' AS {c.type})"

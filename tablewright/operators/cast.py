@@ -5,6 +5,7 @@ Inference looks at all rows, so its result depends neither on row order nor on h
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import parse
 from .profile import col
 
-#: Parts of names that suggest a date.
+#: Parts of names that suggest a date.
 DATE_NAMES = ("date", "time", "timestamp", "_at", "created", "updated")
 #: Patterns by type, in the order in which they are tried on whole values.
 PATTERNS = {
@@ -24,6 +25,7 @@ PATTERNS = {
     "integer": [r"-?\d+"],
     "float": [r"-?\d*\.?\d+", r"-?\d*\.?\d*[eE][+-]?\d+"],
 }
+#: Patterns of amounts without their currency.
 INTEGER, NUMBER = r"^-?\d+$", r"^-?\d*\.?\d+([eE][-+]?\d+)?$"
 
 
@@ -66,21 +68,27 @@ def numeric(text: Column, integral: bool) -> Column:
     return parse.to_exact(bare).cast("long") if integral else parse.to_double(bare)
 
 
+def semantic_types(df: DataFrame, names: Iterable[str], threshold: float = 0.9) -> dict[str, str]:
+    """What columns of objects hold: strings, structures (JSON), or other objects. All null: strings. One pass for all columns."""
+    kinds = {c: df.schema[c].dataType for c in names}
+    text = [c for c, k in kinds.items() if parse.is_string(k)]
+    shares = df.agg(*(F.avg(F.when(col(c).isNotNull(), (parse.bracketed(col(c)) & parse.json_valid(col(c))).cast("int"))).alias(c) for c in text)).first() if text else {}
+    out = {}
+    for c, kind in kinds.items():
+        if c in text:
+            out[c] = "STRUCTURED_OBJECT" if shares[c] is not None and shares[c] >= threshold else "STRING_OBJECT"
+        else:
+            out[c] = "STRUCTURED_OBJECT" if isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType)) else "TRUE_OBJECT"
+    return out
+
+
 def semantic_type(df: DataFrame, name: str, threshold: float = 0.9) -> str:
-    """What a column of objects holds: strings, structures (JSON), or other objects. All null: strings."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
-        return "STRUCTURED_OBJECT"
-    if not parse.is_string(kind):
-        return "TRUE_OBJECT"
-    structured = F.avg((parse.bracketed(col(name)) & parse.json_valid(col(name))).cast("int"))
-    share = df.where(col(name).isNotNull()).agg(structured).first()[0]
-    return "STRUCTURED_OBJECT" if share is not None and share >= threshold else "STRING_OBJECT"
+    return semantic_types(df, [name], threshold)[name]
 
 
 def sample_values(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
-    """Up to ``most`` values that aren't null, the same ones for the same values, in any order of rows."""
-    return df.where(col(name).isNotNull()).select(col(name)).orderBy(F.xxhash64(col(name)), col(name)).limit(most)
+    """Up to ``most`` values that aren't null, the same ones for the same values, in any order of rows: those of the smallest digests."""
+    return df.where(col(name).isNotNull()).select(col(name)).orderBy(F.md5(col(name).cast("string").cast("binary")), col(name)).limit(most)
 
 
 def measures(name: str, text: Column) -> dict[str, Column]:

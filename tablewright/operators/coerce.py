@@ -93,12 +93,19 @@ def boolean(raw: Column, kind: T.DataType, strict: bool = False) -> Coerced:
     return _of(raw, value, "bool")
 
 
-def timestamp(raw: Column, kind: T.DataType) -> Coerced:
+def timestamp(raw: Column, kind: T.DataType, utc: bool = False, naive: bool = True) -> Coerced:
+    """Each value by the first of the known shapes that fits it. ``utc``: times with an offset are moved to UTC, those without are UTC.
+    The result is without a zone if ``naive``, else an instant."""
     if parse.is_string(kind):
-        return _of(raw, parse.to_timestamp(raw), "datetime")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return Coerced(raw.cast("timestamp_ntz"), F.lit(False), "datetime")
-    return _of(raw, F.lit(None).cast("timestamp_ntz"), "datetime")
+        value = parse.to_utc(raw) if utc else parse.to_timestamp(raw)
+    elif isinstance(kind, T.TimestampType) and utc:
+        value = F.to_utc_timestamp(raw, F.current_timezone()).cast("timestamp_ntz")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = raw.cast("timestamp_ntz")
+    else:
+        value = F.lit(None).cast("timestamp_ntz")
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), value).cast("timestamp")
+    return _of(raw, value if naive else instant, "datetime")
 
 
 def json_text(raw: Column, kind: T.DataType) -> Coerced:
@@ -117,7 +124,7 @@ def binary(raw: Column, kind: T.DataType) -> Coerced:
     return _of(raw, F.lit(None).cast("binary"), "binary")
 
 
-def coerce(raw: Column, kind: T.DataType, spec: ColumnSpec, bounds: Bounds = NONE, on_length: OnLength = OnLength.RAISE) -> Coerced:
+def coerce(raw: Column, kind: T.DataType, spec: ColumnSpec, bounds: Bounds = NONE, on_length: OnLength = OnLength.RAISE, utc: bool = False, naive: bool = True) -> Coerced:
     """By the logical type of a target column."""
     if spec.logical is Logical.INTEGER:
         return integer(raw, kind, bounds)
@@ -129,7 +136,7 @@ def coerce(raw: Column, kind: T.DataType, spec: ColumnSpec, bounds: Bounds = NON
     if spec.logical is Logical.BOOL:
         return boolean(raw, kind)
     if spec.logical is Logical.DATETIME:
-        return timestamp(raw, kind)
+        return timestamp(raw, kind, utc, naive)
     if spec.logical is Logical.JSON:
         return json_text(raw, kind)
     if spec.logical is Logical.BINARY:

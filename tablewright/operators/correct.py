@@ -6,7 +6,7 @@ share of failures. ``conform`` keeps or drops whole columns by whether they cast
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,22 @@ class CorrectionError(ValueError):
 
 @dataclass(frozen=True)
 class Policy:
-    """``outliers``: None, or ``iqr`` (3 times the range, at least 8 values)."""
+    """``outliers``: None, or ``iqr`` (3 times the range, at least 8 values). ``utc``: times with an offset are moved to UTC, others are
+    taken as UTC; ``naive``: the result has no zone."""
 
-    on_error: C.OnError = C.OnError.COERCE
-    max_failure_rate: float = 0.02
+    on_error: C.OnError = C.OnError.RAISE
+    max_failure_rate: float = 0.0
     on_length: C.OnLength = C.OnLength.RAISE
     outliers: str | None = None
     logical: Logical | None = None
+    utc: bool = True
+    naive: bool = True
+
+
+#: Fails nothing: bad values become null.
+COERCE = Policy(C.OnError.COERCE)
+#: Bad values of a column that are reported.
+SAMPLES = 5
 
 
 @dataclass
@@ -58,16 +67,19 @@ class Report:
     errors: list[str] = field(default_factory=list)
 
 
-def _measured(df: DataFrame, coerced: dict[str, C.Coerced], samples: int = 3) -> dict[str, tuple[int, int, list[str]]]:
-    """(rows, failures, samples of failing raw values) by column, in one pass."""
+def _measured(df: DataFrame, coerced: dict[str, C.Coerced], samples: int = SAMPLES) -> dict[str, tuple[int, int, list[str]]]:
+    """(rows, failures, samples of failing raw values) by column, in one pass. The samples are the smallest of those that hash to different
+    places, so their number is fixed, and the same rows give the same ones."""
     if not coerced:
         return {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (name, c) in enumerate(coerced.items()):
         bad = F.when(c.failed, col(name).cast("string"))
-        aggs += [F.count_if(c.failed).alias(f"f{i}"), F.array_compact(F.array(F.min(bad), F.max(bad))).alias(f"s{i}")]
+        place = F.pmod(F.xxhash64(bad), F.lit(2 * samples))
+        some = [F.min(F.when(place == k, bad)) for k in range(2 * samples)]
+        aggs += [F.count_if(c.failed).alias(f"f{i}"), F.slice(F.array_distinct(F.array_compact(F.array(F.min(bad), F.max(bad), *some))), 1, samples).alias(f"s{i}")]
     row = df.agg(*aggs).first()
-    return {name: (row["rows"], row[f"f{i}"], list(dict.fromkeys(row[f"s{i}"]))[:samples]) for i, name in enumerate(coerced)}
+    return {name: (row["rows"], row[f"f{i}"], list(row[f"s{i}"])) for i, name in enumerate(coerced)}
 
 
 def decision(failures: int, rows: int, policy: Policy) -> str:
@@ -99,15 +111,14 @@ def correct(
     df = mapping.apply(df, found)
     report.errors += [f"missing column {c}" for c in validate.required_missing(df.columns, schema)]
     policies = {c: (by_column or {}).get(c, policy) for c in df.columns}
+    specs = {c: schema[c] if policies[c].logical is None else replace(schema[c], logical=policies[c].logical) for c in df.columns}
+    watched = [c for c in df.columns if policies[c].outliers and specs[c].logical in (Logical.INTEGER, Logical.DECIMAL)]
+    numbers = df.select(*(C.number(col(c), df.schema[c].dataType).alias(c) for c in watched))
+    bounds = outliers.bounds_of(numbers, {c: (policies[c].outliers, 3.0, 8) for c in watched}) if watched else {}
     coerced = {}
     for name in df.columns:
-        spec, p = schema[name], policies[name]
-        spec = spec if p.logical is None else ColumnSpec(spec.name, p.logical, spec.type, spec.nullable, spec.length, spec.precision, spec.scale)
-        kind, bounds = df.schema[name].dataType, outliers.NONE
-        if p.outliers == "iqr" and spec.logical in (Logical.INTEGER, Logical.DECIMAL):
-            numbers = df.select(C.number(col(name), kind).alias(name))
-            bounds = outliers.iqr_bounds(numbers, name, 3.0, 8)
-        coerced[name] = C.coerce(col(name), kind, spec, bounds, p.on_length)
+        p, kind = policies[name], df.schema[name].dataType
+        coerced[name] = C.coerce(col(name), kind, specs[name], bounds.get(name, outliers.NONE), p.on_length, p.utc, p.naive)
     values = {}
     for name, (rows, failures, bad) in _measured(df, coerced).items():
         what = decision(failures, rows, policies[name])
@@ -193,15 +204,15 @@ def align(
         df = mapping.rename(df, mapping.ignoring_case(df.columns, schema.names, {}))
     df = mapping.in_order(df, schema.names, fill=False)
     coerced = {c: strict(col(c), df.schema[c].dataType, schema[c]) for c in df.columns}
+    measured = _measured(df, coerced)
+    over = {c for c, (rows, failures, _) in measured.items() if rows and failures / rows > limit and raising}
+    excused = _excused(df, {c: coerced[c] for c in over if schema[c].logical in (Logical.INTEGER, Logical.DECIMAL)}, outlier_method) if outlier_method else {}
     errors, values = [], {}
-    for name, (rows, failures, bad) in _measured(df, coerced).items():
-        if rows and failures / rows > limit and raising:
-            excused = 0
-            if outlier_method and schema[name].logical in (Logical.INTEGER, Logical.DECIMAL):
-                numbers = df.select(C.number(col(name), df.schema[name].dataType).alias(name), coerced[name].failed.alias("failed"))
-                excused = numbers.where(F.col("failed") & outliers.bounds(numbers, name, outlier_method).outside(col(name))).count()
-            if (failures - excused) / rows > limit:
-                errors.append(f"{name}: {failures} of {rows} values fail, such as {bad}")
+    for name, (rows, failures, bad) in measured.items():
+        if name in over and (failures - excused.get(name, 0)) / rows > limit:
+            errors.append(f"{name}: {failures} of {rows} values fail, such as {bad}")
+        if schema[name].length is not None and schema[name].logical is Logical.STRING and failures and strict_mode:
+            errors.append(f"{name}: {failures} texts are longer than {schema[name].length}")
         values[name] = F.when(~coerced[name].failed, coerced[name].value)
     out = df.select(*(values[c].alias(c) for c in df.columns))
     rows = {c.name: c for c in schema.columns if not c.nullable and c.name in out.columns}
@@ -216,23 +227,46 @@ def align(
     return mapping.in_order(out, schema.names, {c.name: c.type for c in schema.columns}, fill_missing)
 
 
+def _excused(df: DataFrame, coerced: dict[str, C.Coerced], method: str) -> dict[str, int]:
+    """Failing values that are numbers, but outliers, by column; all columns in the same passes."""
+    numbers = df.select(*(C.number(col(c), df.schema[c].dataType).alias(c) for c in coerced), *(x.failed.alias(f"__failed_{c}") for c, x in coerced.items()))
+    if not coerced:
+        return {}
+    found = outliers.bounds_of(numbers, {c: (method, None, 4) for c in coerced})
+    row = numbers.agg(*(F.count_if(F.col(f"`__failed_{c}`") & found[c].outside(col(c))).alias(c) for c in coerced)).first()
+    return row.asDict()
+
+
 # Whole-column conformity
 
 
 @dataclass
 class Conformity:
-    """``failed``: columns that became null as a whole, or whose share of new nulls is over the threshold (in percent)."""
+    """``failed``: columns that became null as a whole, or whose share of new nulls is over the threshold (in percent).
+    ``corrected``: values that became null as outliers, by column."""
 
     status: str
     failed: list[str] = field(default_factory=list)
     added: list[str] = field(default_factory=list)
     introduced_nulls_pct: dict[str, float] = field(default_factory=dict)
+    corrected: dict[str, int] = field(default_factory=dict)
+
+
+def whole(raw, kind: T.DataType, spec: ColumnSpec) -> C.Coerced:
+    """A cast that takes no words for booleans: those are booleans, or numbers 1 and 0."""
+    if spec.logical is Logical.BOOL and parse.is_string(kind):
+        return C.Coerced(F.lit(None).cast("boolean"), raw.isNotNull(), "bool")
+    if spec.logical is Logical.STRING:
+        return C.string(raw)
+    return C.integer(raw, kind) if spec.logical is Logical.INTEGER else strict(raw, kind, spec)
 
 
 def conform(
     df: DataFrame, schema: TableSchema | None, threshold: float = 5.0, strict_mode: bool = True, auto_alter: bool = False, fix_outliers: str | None = None
 ) -> tuple[DataFrame, Conformity, TableSchema | None]:
-    """A column that any value keeps from casting becomes null as a whole. Missing columns are null. Without a table, ``df`` as it is."""
+    """A column that any value keeps from casting becomes null as a whole. Missing columns are null. Without a table, ``df`` as it is.
+    ``fix_outliers`` is for numbers that don't cast reliably: of these, values that fail and outliers become null, and not the whole
+    column. Columns that cast reliably keep all their values."""
     if schema is None:
         return df, Conformity("table not found"), None
     report = Conformity("aligned")
@@ -242,25 +276,25 @@ def conform(
         schema, report.added = schema.with_columns(*more), [c.name for c in more]
         df = mapping.rename(df, mapping.ignoring_case(df.columns, schema.names))
     present = [c for c in schema.names if c in df.columns]
-    coerced = {c: strict(col(c), df.schema[c].dataType, schema[c]) for c in present}
+    coerced = {c: whole(col(c), df.schema[c].dataType, schema[c]) for c in present}
     measured = _measured(df, coerced)
-    values = {}
-    for c in schema.names:
-        if c not in present:
-            values[c] = F.lit(None).cast(schema[c].type)
-            continue
-        rows, failures, _ = measured[c]
-        value = coerced[c].value
-        values[c] = value if not failures else F.lit(None).cast(schema[c].type)
-        if fix_outliers and not failures and schema[c].logical in (Logical.INTEGER, Logical.DECIMAL):
-            numbers = df.select(value.alias(c))
-            values[c] = F.when(~outliers.bounds(numbers, c, fix_outliers).outside(value), value)
+    unsure = [c for c in present if measured[c][1] and fix_outliers and schema[c].logical in (Logical.INTEGER, Logical.DECIMAL)]
+    numbers = df.select(*(coerced[c].value.alias(c) for c in unsure))
+    found = outliers.bounds_of(numbers, {c: (fix_outliers, None, 4) for c in unsure}) if unsure else {}
+    values = {c: F.lit(None).cast(schema[c].type) for c in schema.names}
+    for c in present:
+        if not measured[c][1]:
+            values[c] = coerced[c].value
+        elif c in found:
+            values[c] = F.when(~found[c].outside(coerced[c].value), coerced[c].value)
     out = df.select(*(values[c].alias(c) for c in schema.names))
     if present:
         before = df.agg(*(F.avg(absent(df, c).cast("int")).alias(c) for c in present)).first()
         after = out.agg(*(F.avg(absent(out, c).cast("int")).alias(c) for c in present)).first()
         report.introduced_nulls_pct = {c: 100 * ((after[c] or 0) - (before[c] or 0)) for c in present}
         report.failed = [c for c, v in report.introduced_nulls_pct.items() if v > threshold]
+    if unsure:
+        report.corrected = numbers.agg(*(F.count_if(found[c].outside(col(c))).alias(c) for c in unsure)).first().asDict()
     if report.failed and strict_mode:
         raise CorrectionError([f"{c}: {report.introduced_nulls_pct[c]:.1f} % new nulls" for c in report.failed])
     return out, report, schema

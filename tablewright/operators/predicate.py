@@ -174,9 +174,15 @@ def bind(conditions, columns: Iterable[str], row: dict | None = None, allow_miss
     return out
 
 
-def predicate(conditions, expression: str | None, columns: Iterable[str], row: dict | None = None) -> Column:
-    """One Spark predicate, which the scan can take over."""
-    known = {i: reduce(lambda a, b: a & b, (to_column(c, F.col(f"`{c.field}`")) for c in g)) for i, g in bind(conditions, columns, row).items()}
+def predicate(conditions, expression: str | None, columns: Iterable[str], row: dict | None = None, allow_missing: bool = False) -> Column:
+    """One Spark predicate, which the scan can take over. With ``allow_missing`` a condition on a column that isn't there is like one
+    on null: it never holds."""
+    columns = list(columns)
+
+    def one(c: Condition) -> Column:
+        return to_column(c, F.col(f"`{c.field}`")) if c.field in columns else F.lit(False)
+
+    known = {i: reduce(lambda a, b: a & b, map(one, g)) for i, g in bind(conditions, columns, row, allow_missing).items()}
     if not known:
         return F.lit(True)
     if not expression:
@@ -184,13 +190,13 @@ def predicate(conditions, expression: str | None, columns: Iterable[str], row: d
     return fold(expression, known, lambda a, b: a & b, lambda a, b: a | b)
 
 
-def where(df: DataFrame, conditions, expression: str | None = None, row: dict | None = None) -> DataFrame:
-    return df.where(predicate(conditions, expression, df.columns, row))
+def where(df: DataFrame, conditions, expression: str | None = None, row: dict | None = None, allow_missing: bool = False) -> DataFrame:
+    return df.where(predicate(conditions, expression, df.columns, row, allow_missing))
 
 
-def select(df: DataFrame, conditions, columns: list[str] | None = None, expression: str | None = None, row: dict | None = None) -> DataFrame:
+def select(df: DataFrame, conditions, columns: list[str] | None = None, expression: str | None = None, row: dict | None = None, allow_missing: bool = False) -> DataFrame:
     """Projection of what a condition selects; names match in any case."""
-    found = where(df, conditions, expression, row)
+    found = where(df, conditions, expression, row, allow_missing)
     if not columns:
         return found
     names = [resolve(c, df.columns) for c in columns]

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +31,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     if not df.columns:
         return df.sparkSession.createDataFrame([], PROFILE)
     aggs = [F.count(F.lit(1)).alias("total")]
-    count = F.approx_count_distinct if approximate else F.count_distinct
+    count = (lambda x: F.approx_count_distinct(x, ERROR)) if approximate else F.count_distinct
     for i, f in enumerate(df.schema):
         value = F.when(~absent(df, f.name), col(f.name))
         aggs += [F.count(value).alias(f"n{i}"), count(value).alias(f"d{i}")]
@@ -76,10 +74,15 @@ class Sample:
     warning: str | None = None
 
 
+#: Rank error of the sketch that finds a sample's cut points is one in so many.
+SKETCH = 1_000
+
+
 def sample(df: DataFrame, percent: float = 5, order_by: str | None = None, filter_none: bool = True) -> Sample:
     """Head and tail, ``percent`` of the rows together, without repeated rows. The order is that of ``order_by``, then of all columns.
 
-    Two sorted limits pick the ends, so no task sorts more than it holds."""
+    A sketch gives values that cut off slightly more than each end, so only rows near the ends are sorted; they are numbered by ranges, in many
+    tasks. Where the first column of the order is no number or time, or may hold NaN, all rows are numbered."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be over 0 and at most 100")
     complete = ~_any_absent(df) if filter_none else F.lit(True)
@@ -92,16 +95,24 @@ def sample(df: DataFrame, percent: float = 5, order_by: str | None = None, filte
     rows = df.where(complete)
     n = max(1, int(filtered * percent / 200))
     keys = [order_by, *(c for c in df.columns if c != order_by)] if order_by else df.columns
-    ends = rows.orderBy(*(col(c).asc() for c in keys)).limit(n).unionByName(rows.orderBy(*(col(c).desc() for c in keys)).limit(n)).distinct()
+    ends = _end(rows, keys, n, filtered, filter_none, False).unionByName(_end(rows, keys, n, filtered, filter_none, True)).distinct()
     return Sample(ends, total, filtered, n, round(100 * (1 - filtered / total), 2) if filter_none and not filtered else 0.0, warning)
 
 
-def head_tail(df: DataFrame, order_by: Sequence[str], percent: float = 5) -> DataFrame:
-    """The rows of ``sample`` as one lazy plan over an order without ties. Row numbers over all rows need one task; ``sample`` doesn't."""
-    place = F.row_number().over(W.orderBy(*order_by))
-    n = F.count(F.lit(1)).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    side = F.greatest(F.lit(1), F.floor(n * percent / 200))
-    return df.withColumns({"__place": place, "__n": n, "__side": side}).where("__place <= __side or __place > __n - __side").drop("__place", "__n", "__side")
+def _end(rows: DataFrame, keys: list[str], n: int, total: int, complete: bool, tail: bool) -> DataFrame:
+    """The first or last ``n`` of ``total`` rows in order of ``keys``, nulls first."""
+    from .ordinals import ORDINAL, with_ordinal
+
+    kind, first = rows.schema[keys[0]].dataType, col(keys[0])
+    near = rows
+    if isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) or complete and isinstance(kind, (T.FloatType, T.DoubleType)):
+        share = min(1.0, n / max(1, total) + 2 / SKETCH)
+        cut = rows.agg(F.approx_percentile(first, 1 - share if tail else share, SKETCH)).first()[0]
+        if cut is not None and not rows.where(first.isNull()).limit(1).count():
+            near = rows.where(first >= F.lit(cut).cast(kind) if tail else first <= F.lit(cut).cast(kind))
+    placed = with_ordinal(near, keys)
+    past = placed.agg(F.max(ORDINAL)).first()[0] or 0
+    return placed.where(F.col(ORDINAL) > past - n if tail else F.col(ORDINAL) <= n).drop(ORDINAL)
 
 
 def _any_absent(df: DataFrame) -> Column:
@@ -128,18 +139,36 @@ def key_text(columns: list[str]) -> Column:
     return F.concat_ws("|", *escaped)
 
 
+#: Relative error of the sketches of distinct values, and how many of it a column may be off and still be counted exactly.
+ERROR, SURE = 0.02, 5
+
+
 def is_key(df: DataFrame, columns: list[str]) -> bool:
-    """Whether the rows that are complete in ``columns`` differ in them."""
-    whole = df.where(~_any_absent(df.select(*(col(c) for c in columns))))
-    total, distinct = whole.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*(col(c) for c in columns)))).first()
-    return total > 0 and total == distinct
+    """Whether the rows that are complete in ``columns`` differ in them. A sketch rules out most sets that don't, without a shuffle."""
+    values = df.select(*(col(c) for c in columns))
+    whole, key = values.where(~_any_absent(values)), F.struct(*(col(c) for c in columns))
+    total, near = whole.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*(col(c) for c in columns)), ERROR)).first()
+    if not total or near < (1 - SURE * ERROR) * total:
+        return False
+    return whole.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def key_profile(df: DataFrame, threshold: float) -> DataFrame:
+    """A profile for ``infer_key``: distinct values by sketches, and exactly where these are near the threshold or over it."""
+    rough = profile(df, approximate=True)
+    high = [r["column"] for r in rough.collect() if r["non_null_count"] and r["distinct_count"] >= (1 - SURE * ERROR) * threshold * r["non_null_count"]]  # a row for each column
+    if not high:
+        return rough
+    exact = profile(df.select(*(col(c) for c in high)))
+    return rough.where(~F.col("column").isin(*high)).withColumn("is_unique", F.lit(False)).unionByName(exact)
 
 
 def infer_key(df: DataFrame, found: DataFrame | None = None, threshold: float = 0.8, most: int = 5) -> KeyChoice:
-    """The first unique column; else the most distinctive columns added one by one until they are unique, at most ``most``."""
+    """The first unique column; else the most distinctive columns added one by one until they are unique, at most ``most``. Without a
+    profile ``found``, columns under ``threshold`` are ranked by sketches of their distinct values."""
     if not df.columns:
         raise ValueError("a table without columns has no key")
-    rows = {r["column"]: r for r in uniqueness(found if found is not None else profile(df)).collect()}  # one row per column
+    rows = {r["column"]: r for r in uniqueness(found if found is not None else key_profile(df, threshold)).collect()}  # one row per column
     for name in df.columns:
         if name in rows and rows[name]["is_unique"]:
             return KeyChoice(df.withColumn("pk", key_text([name])), "pk", [name], True)

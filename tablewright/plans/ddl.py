@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identifiers as I
-from ..functions.types import ForeignKey, schema_of
+from ..functions.clean import quick_clean
+from ..functions.types import ForeignKey, TableSchema, schema_of
 from ..operators import cast as casting
 from ..operators import validate
 from ..operators.profile import absent, col, infer_key
+from ..sources import files
 from ..sources.store import Store
 
 VARCHAR = 255
@@ -128,21 +130,57 @@ def create_table_sql(struct: T.StructType, nullable: dict[str, bool], table: str
 
 def facts(df: DataFrame) -> tuple[dict[str, bool], dict[str, str | None]]:
     """Whether each column holds nulls, and a value of each; one pass."""
-    row = df.agg(*(x for i, c in enumerate(df.columns) for x in (F.coalesce(F.bool_or(absent(df, c)), F.lit(False)).alias(f"n{i}"), F.min(col(c).cast("string")).alias(f"s{i}")))).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(df.columns)}, {c: row[f"s{i}"] for i, c in enumerate(df.columns)}
+    nullable, sample, _ = _facts(df)
+    return nullable, sample
 
 
-def schema_json(df: DataFrame, table: str, server: str, keys: Keys = Keys(), names: dict[str, str] | None = None) -> dict:
-    nullable, sample = facts(df)
+def _facts(df: DataFrame) -> tuple[dict[str, bool], dict[str, str | None], int]:
+    each = [x for i, c in enumerate(df.columns) for x in (F.coalesce(F.bool_or(absent(df, c)), F.lit(False)).alias(f"n{i}"), F.min(col(c).cast("string")).alias(f"s{i}"))]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *each).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(df.columns)}, {c: row[f"s{i}"] for i, c in enumerate(df.columns)}, row["rows"]
+
+
+@dataclass
+class Measured:
+    """A frame, cast, and what DDL says of its data; the same for all dialects."""
+
+    frame: DataFrame
+    nullable: dict[str, bool]
+    sample: dict[str, str | None]
+    rows: int
+    semantics: dict[str, str]
+
+    def renamed(self, names: dict[str, str]) -> Measured:
+        new = lambda d: {names.get(c, c): v for c, v in d.items()}
+        return Measured(self.frame.toDF(*(names.get(c, c) for c in self.frame.columns)), new(self.nullable), new(self.sample), self.rows, new(self.semantics))
+
+
+def measure(df: DataFrame, keys: Keys = Keys(), cast: bool = True) -> Measured:
+    """Cast, check the keys, and measure all columns in two passes."""
+    for key in (keys.primary_key, *keys.unique):
+        if missing := [c for c in key if c not in df.columns]:
+            raise ValueError(f"no such columns: {missing}")
+    if cast:
+        df = casting.cast_df(df)
+    for key in (keys.primary_key, *keys.unique):
+        if key and validate.has_duplicates(df.where(~_any(df, key)), key):
+            raise ValueError(f"rows repeat {list(key)}")
+    semantics = casting.semantic_types(df, [f.name for f in df.schema if family(f.dataType) == "text"])
+    return Measured(df, *_facts(df), semantics)
+
+
+def schema_json(df: DataFrame, table: str, server: str, keys: Keys = Keys(), names: dict[str, str] | None = None, known: Measured | None = None) -> dict:
+    if known is None:
+        known = Measured(df, *_facts(df), {})
     return {
         "table": table,
         "server": I.dialect_of(server),
-        "columns": [{"name": f.name, "dtype": f.dataType.simpleString(), "sql": sql_type(f.dataType, server), "nullable": nullable[f.name], "sample": sample[f.name]} for f in df.schema],
+        "columns": [{"name": f.name, "dtype": f.dataType.simpleString(), "sql": sql_type(f.dataType, server), "nullable": known.nullable[f.name], "sample": known.sample[f.name]} for f in df.schema],
         "primary_key": list(keys.primary_key),
         "unique": [list(u) for u in keys.unique],
         "foreign_keys": [{"columns": list(f.columns), "table": f.table, "references": list(f.references)} for f in keys.foreign_keys],
         "column_count": len(df.columns),
-        "row_count": df.count(),
+        "row_count": known.rows,
         "column_map": names or {c: c for c in df.columns},
     }
 
@@ -155,25 +193,18 @@ class Ddl:
     keys: Keys
 
 
-def df_ddl(df: DataFrame, table: str, server: str = "oracle", keys: Keys = Keys(), schema: str | None = None, sanitize: bool = False, cast: bool = True, lengths: dict[str, int] | None = None) -> Ddl:
-    """DDL for a frame. Names that SQL wouldn't take are an error, or with ``sanitize`` are changed, in the keys too. Keys must hold in the data."""
+def df_ddl(df: DataFrame, table: str, server: str = "oracle", keys: Keys = Keys(), schema: str | None = None, sanitize: bool = False, cast: bool = True, lengths: dict[str, int] | None = None, known: Measured | None = None) -> Ddl:
+    """DDL for a frame. Names that SQL wouldn't take are an error, or with ``sanitize`` are changed, in the keys too. Keys must hold in the data.
+    ``known``: what ``measure`` gave for the frame, to spare measuring it for each dialect."""
     names = {c: c for c in df.columns}
     if sanitize:
         names = dict(zip(df.columns, I.sanitize(df.columns, dialect=server), strict=True))
-        df, keys = df.toDF(*names.values()), keys.renamed(names)
     elif bad := [c for c in df.columns if not c.isidentifier() or c.upper() in I.RESERVED[I.dialect_of(server)]]:
         raise ValueError(f"not fit for SQL names: {bad}")
-    for key in (keys.primary_key, *keys.unique):
-        if missing := [c for c in key if c not in df.columns]:
-            raise ValueError(f"no such columns: {missing}")
-    if cast:
-        df = casting.cast_df(df)
-    for key in (keys.primary_key, *keys.unique):
-        if key and validate.has_duplicates(df.where(~_any(df, key)), key):
-            raise ValueError(f"rows repeat {list(key)}")
-    semantics = {f.name: casting.semantic_type(df, f.name) for f in df.schema if family(f.dataType) == "text"}
-    sql = create_table_sql(df.schema, facts(df)[0], table, server, keys, schema, lengths, semantics)
-    return Ddl(sql, schema_json(df, table, server, keys, names), df, keys)
+    I.dialect_of(server)
+    known, keys = (known or measure(df, keys, cast)).renamed(names), keys.renamed(names)
+    sql = create_table_sql(known.frame.schema, known.nullable, table, server, keys, schema, lengths, known.semantics)
+    return Ddl(sql, schema_json(known.frame, table, server, keys, names, known), known.frame, keys)
 
 
 def _any(df: DataFrame, key):
@@ -192,22 +223,51 @@ class Created:
     error: str | None = None
 
 
+def table_schema(made: Ddl) -> TableSchema:
+    """The schema of the table that DDL makes. A column that counts up gives numbers to rows without one when they are inserted."""
+    schema = schema_of(made.frame.schema, made.keys.primary_key, made.keys.unique, made.keys.foreign_keys)
+    auto = made.keys.autoincrement
+    counting = lambda c: replace(c, type="bigint", tag="identity", start=auto[1], has_server_default=True, default=None)
+    return replace(schema, columns=tuple(counting(c) if auto and c.name == auto[0] else c for c in schema.columns))
+
+
 def create_and_load(store: Store, df: DataFrame, table: str, servers: list[str], keys: Keys | None = None, sanitize: bool = True, if_exists: str = "replace") -> list[Created]:
-    """DDL for each dialect, and one snapshot table per dialect ({table} for the first) with the rows. Without keys the primary key is inferred."""
-    out = []
-    for i, server in enumerate(servers):
+    """DDL for each dialect, and one table with the rows, named and typed as for the first dialect that works; the data are measured and
+    written once. Without keys the primary key is inferred."""
+    out: list[Created] = []
+    try:
+        own = keys if keys is not None else Keys(tuple(k.components) if (k := infer_key(df)).unique else ())
+        known = measure(df, own)
+    except ValueError as e:
+        return [Created(server, "failed", error=str(e)) for server in servers]
+    loaded = False
+    for server in servers:
         try:
-            own = keys if keys is not None else Keys(tuple(k.components) if (k := infer_key(df)).unique else ())
-            made = df_ddl(df, table, server, own, sanitize=sanitize)
-            schema = schema_of(made.frame.schema, made.keys.primary_key, made.keys.unique, made.keys.foreign_keys)
-            name = table if i == 0 else f"{table}_{I.dialect_of(server)}"
-            store.create(name, schema, made.frame, if_exists)
-            out.append(Created(server, "created", made.sql, store.count(name)))
+            made = df_ddl(df, table, server, own, sanitize=sanitize, known=known)
+            if not loaded:
+                store.create(table, table_schema(made), made.frame, if_exists)
+                loaded = True
+            out.append(Created(server, "created", made.sql, known.rows))
         except ValueError as e:
             out.append(Created(server, "failed", error=str(e)))
     return out
 
 
+def csv_create_and_load(store: Store, path: str, table: str, servers: list[str], keys: Keys | None = None, clean: bool = True, save_back: bool = False, folder: str | None = None, if_exists: str = "replace") -> list[Created]:
+    """``create_and_load`` from a CSV file. ``save_back``: write the table's rows over the file. ``folder``: where the schema's JSON goes, for each dialect."""
+    df = files.read_csv(store.spark, path)
+    df = quick_clean(df) if clean else df
+    if keys is not None and clean:
+        keys = keys.renamed({c: n for c, n in zip(files.read_csv(store.spark, path).columns, df.columns, strict=True)})
+    out = create_and_load(store, df, table, servers, keys, if_exists=if_exists)
+    made = [c for c in out if c.status == "created"]
+    if made and save_back:
+        files.overwrite_csv(store.read(table), path)
+    for c in made if folder else ():
+        files.write_schema_json(store.spark, folder, c.server, table, schema_json(store.read(table), table, c.server, keys or Keys(store.primary_key(table))))
+    return out
+
+
 def model_source(struct: T.StructType, table: str, keys: Keys = Keys(), nullable: dict[str, bool] | None = None) -> str:
     """Source of a declarative model class, as text."""
     kinds = {"text": "String(255)", "long": "BigInteger", "double": "Float", "float": "Float", "decimal": "Numeric", "boolean": "Boolean", "timestamp": "DateTime", "date": "Date", "interval": "Interval", "object": "JSON", "binary": "LargeBinary"}

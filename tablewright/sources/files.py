@@ -19,16 +19,17 @@ def read_csv(spark: SparkSession, path: str, null_texts: tuple[str, ...] = NULL_
 
 
 def overwrite_csv(df: DataFrame, path: str) -> None:
-    """Put ``df``, which may read ``path``, in its place: written beside it first, then swapped."""
+    """Put ``df``, which may read ``path``, in its place: written beside it first, then swapped. What was there is deleted last."""
     spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    new, kept = f"{path.rstrip('/')}.{mark}.new", f"{path.rstrip('/')}.{mark}.old"
     df.write.csv(new, header=True, escape='"')
-    jvm = spark._jvm.org.apache.hadoop.fs
-    old, there = jvm.Path(path), jvm.Path(new)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(there, old):
-        raise OSError(f"{new} could not be renamed to {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for a, b in ((path, kept), (new, path)):
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"{a} could not be renamed to {b}")
+    fs.delete(at(kept), True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

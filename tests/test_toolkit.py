@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions import identifiers as I
@@ -199,6 +200,16 @@ def test_outliers(spark):
     assert df.where(~outliers.valid_mask(df, "v")).count() == 1
     assert values(outliers.null_outliers(df, "v"), "v").count((None,)) == 2
     assert outliers.bounds(df.limit(3), "v") == outliers.NONE
+    wide = spark.createDataFrame([(float((i * 7919) % 1000) if i % 9 else 5.0, float(i % 3), None if i % 4 else float(i)) for i in range(3_000)], "a double, b double, c double")
+    want = outliers.quartiles(wide, ["a", "b", "c"])
+    try:
+        outliers.AT_ONCE = 50  # narrowed by sketches, exactly the same
+        assert outliers.quartiles(wide, ["a", "b", "c"]) == want
+    finally:
+        outliers.AT_ONCE = 1_000_000
+    odd = spark.createDataFrame([(float(i % 40),) for i in range(400)] + [(5_000.0,), (-9_000.0,)], "v double")
+    found = [r[0] for r in odd.where(~outliers.valid_mask(odd, "v", "forest")).collect()]
+    assert {5_000.0, -9_000.0} <= set(found) and len(found) < 100
     same = spark.createDataFrame([(1.0,)] * 5, "v double")
     assert outliers.bounds(same, "v", "zscore") == outliers.NONE
 
@@ -218,13 +229,15 @@ def test_validation(spark):
 def test_correct_reports_and_raises(spark):
     schema = schema_of(spark.createDataFrame([], "id long, score double").schema)
     df = spark.createDataFrame([("1", "2.5", "x"), ("b", "z", "y")], "ID string, score string, `More Text` string")
-    out, report = correct.correct(df, schema)
+    out, report = correct.correct(df, schema, correct.COERCE)
     assert values(out, "id", "score") == [(1, 2.5), (None, None)]
     assert {c.column: (c.failures, c.decision, c.samples) for c in report.columns} == {"id": (1, "null", ["b"]), "score": (1, "null", ["z"])}
     assert report.mapping.dropped == ["More Text"]
     with pytest.raises(correct.CorrectionError):
-        correct.correct(df, schema, correct.Policy(coerce.OnError.RAISE))
-    out, report = correct.correct(df, schema, evolve=True)
+        correct.correct(df, schema)  # raises by default, for one bad value
+    many = spark.createDataFrame([(f"bad{i}", "1") for i in range(50)], "id string, score string")
+    assert len(correct.correct(many, schema, correct.COERCE)[1].columns[0].samples) == 5
+    out, report = correct.correct(df, schema, correct.COERCE, evolve=True)
     assert report.added == ["more_text"] and out.columns == ["id", "score", "more_text"]
 
 
@@ -237,6 +250,14 @@ def test_align_and_conform(spark):
     out, report, schema = correct.conform(df, target, strict_mode=False, auto_alter=True)
     assert report.failed == ["created_at"] and report.introduced_nulls_pct["created_at"] == 100 and report.added == ["extra_column"]
     assert out.where("created_at is not null").count() == 0 and out.agg(F.max("value")).first()[0] == 1000.0
+    for method in ("iqr", "zscore", "forest"):  # a column that casts reliably keeps its outliers
+        out, report, _ = correct.conform(df, target, strict_mode=False, fix_outliers=method)
+        assert out.agg(F.max("value")).first()[0] == 1000.0 and report.failed == ["created_at"] and not report.corrected
+    text = df.withColumn("value", F.when(F.col("ID") == 2, "n/a").otherwise(F.col("value").cast("string"))).withColumn("active", F.lit("yes"))
+    out, report, _ = correct.conform(text, target, strict_mode=False, fix_outliers="iqr")
+    assert values(out, "value") == values(spark.createDataFrame([(10.5,), (None,), (None,), (30.7,), (40.2,)], "value double"), "value")
+    assert report.corrected == {"value": 1} and set(report.failed) == {"value", "created_at", "active"}  # words are no booleans here
+    assert correct.conform(text, target, strict_mode=False)[0].where("value is not null").count() == 0
     assert correct.conform(df, None)[1].status == "table not found"
     with pytest.raises(correct.CorrectionError):
         correct.align(df, target)
@@ -249,13 +270,21 @@ def test_align_and_conform(spark):
 # Store and DML
 
 
+def data_files(store, table):
+    return {f: store._fs().getFileStatus(store._path(store.snapshot(table).path, f)).getModificationTime() for f in store.snapshot(table).files}
+
+
 def test_store(spark, store):
     store.create("Users", USERS)
     assert store.tables() == ["Users"] and store.exists("users") and store.count("users") == 0
     store.append("users", spark.createDataFrame([(1, "a", "P")], "id long, username string, city string"))
     assert store.version("users") == 1 and store.primary_key("users") == ("id",)
-    assert store.add_columns("users", [ColumnSpec("Age", Logical.INTEGER, "bigint"), ColumnSpec("CITY", Logical.STRING)]) == ["Age"]
-    assert store.read("users").columns == ["id", "username", "city", "Age"]
+    before = data_files(store, "users")
+    assert store.add_columns("users", [ColumnSpec("Age", Logical.INTEGER, "bigint"), ColumnSpec("CITY", Logical.STRING), ColumnSpec("kind", Logical.STRING, default="it's"), ColumnSpec("n", Logical.INTEGER, "bigint", default=7)]) == ["Age", "kind", "n"]
+    assert data_files(store, "users") == before  # new columns change no file
+    assert store.read("users").columns == ["id", "username", "city", "Age", "kind", "n"] and values(store.read("users"), "Age", "kind", "n") == [(None, "it's", 7)]
+    store.append("users", spark.createDataFrame([(2, None)], "id long, kind string"))
+    assert values(store.read("users"), "id", "kind", "n") == [(1, "it's", 7), (2, None, 7)] and set(before) < set(data_files(store, "users"))
     store.alter_type("users", "age", "double")
     assert dict(store.read("users").dtypes)["Age"] == "double"
     store.execute('ALTER TABLE users ADD COLUMN "Note" string')
@@ -263,6 +292,7 @@ def test_store(spark, store):
     assert dict(store.read("users").dtypes)["Age"] == "bigint" and store.read("users").columns[-1] == "Note"
     with pytest.raises(ValueError):
         store.execute("DELETE FROM users")
+    assert store.compare("users", {"id": "big", "city": "int", "x": "int"})["missing"] == ["x"]
     store.rollback("users", 0)
     assert store.count("users") == 0 and store.schema("users") == USERS
     assert store.compare("users", {"id": "big", "city": "int", "x": "int"}) == {"missing": ["x"], "extra": ["username"], "different": ["city"]}
@@ -277,6 +307,67 @@ def test_store(spark, store):
         store.read("users")
 
 
+def test_versions_are_never_reused(spark, store):
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    store.save(one(1, 2), "t")
+    store.append("t", one(3))
+    store.rollback("t", 0)
+    store.append("t", one(*range(10, 60)))
+    assert [store.read("t", v).count() for v in store.versions("t")] == [2, 3, 2, 52] and store.version("t") == 3
+    store.save(store.read("t").where("id > 1"), "t", "replace")  # reads what it replaces
+    assert store.count("t") == 51 and store.read("t", 3).count() == 52
+    at = store.snapshot("t")
+    store.append("t", one(1000))
+    with pytest.raises(RuntimeError):
+        store.publish(at, (), at.files)  # another has committed since
+    assert store.publish(at, store.stage("t", one(2000)), after_others=True) == at.version + 2 and store.count("t") == 53
+    assert store.vacuum("t") == 3 and store.versions("t") == [at.version + 2] and store.count("t") == 53
+
+
+def test_failed_statement_leaves_the_table(spark, store):
+    store.save(spark.range(3), "t")
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    for act in (lambda: store.append("t", bad), lambda: store.save(bad, "t", "replace")):
+        with pytest.raises(Exception, match="no"):
+            act()
+    assert store.count("t") == 3 and store.version("t") == 0
+
+
+def test_schemas(spark, store):
+    store.save(spark.range(2), "t")
+    store.save(spark.range(5), "hr.t")
+    store.save(spark.range(7), "hr.Staff")
+    assert store.schemas() == ["hr"] and store.tables() == ["t"] and store.tables(schema="hr") == ["Staff", "t"]
+    assert (store.count("t"), store.count("HR.t".lower()), store.count("staff")) == (2, 5, 7)
+    assert store.schema_with("staff") == "hr" and store.schema_with("t") == "" and store.schema_with("none") is None and store.find("STAFF") == "hr.Staff"
+
+
+def test_migration_plan(spark, store):
+    store.create("users", USERS)
+    plan = store.plan("users", schema_of(spark.createDataFrame([], "ID long, city int, Age int").schema).columns)
+    assert [c.name for c in plan.add] == ["Age"] and plan.change == (("city", "string", "int"),) and store.version("users") == 0
+    assert store.migrate(plan) == 1 and store.schema("users").names[-1] == "Age" and not store.plan("users", store.columns("users"))
+
+
+def test_statements_touch_files_with_their_rows_alone(spark, store):
+    df = spark.range(400).selectExpr("id", "concat('u', id) as username", "'x' as city")
+    store.create("users", USERS)
+    for k in range(4):
+        store.append("users", df.where(f"id div 100 = {k}").coalesce(1))
+    old = data_files(store, "users")
+    assert len(old) == 4
+    dml.insert(store, [{"id": 1000, "username": "new"}], "users")
+    assert set(old) < set(data_files(store, "users"))
+    dml.upsert(store, [{"id": 150, "city": "Y"}, {"id": 2000, "city": "Z"}], "users", ["id"])
+    assert len(set(old) & set(data_files(store, "users"))) == 3 and store.count("users") == 402
+    assert dml.update(store, "users", {"city": "W"}, "id = 20") == 1
+    kept = data_files(store, "users")
+    assert len(set(old) & set(kept)) == 2
+    dml.upsert(store, [{"id": 3000, "city": "Z"}], "users", ["id"])  # no key is there: an append
+    assert set(kept) < set(data_files(store, "users"))
+    assert set(values(store.read("users").where("city != 'x'"), "id", "city")) == {(20, "W"), (150, "Y"), (2000, "Z"), (3000, "Z")}
+
+
 @pytest.mark.parametrize("dialect", ["sqlite", "postgres", "oracle", "mysql", "mssql"])
 def test_upsert(spark, store, dialect):
     store.create("users", USERS, spark.createDataFrame([(1, "alice", "Paris"), (2, "bob", "London")], "id long, username string, city string"))
@@ -298,6 +389,42 @@ def test_upsert_rules(spark, store):
     assert values(store.read("users")) == [(1, "alice", "last")]  # the last row wins; columns it lacks stay
 
 
+def test_upsert_keeps_other_unique_sets(spark, store):
+    store.create("users", USERS, spark.createDataFrame([(1, "alice", "Paris"), (2, "bob", "London")], "id long, username string, city string"))
+    stats = dml.upsert(store, [{"id": 4, "username": "alice"}, {"id": 5, "username": "eve"}], "users", ["id"])
+    assert (stats.success, stats.failed) == (1, 1) and values(store.read("users"), "id", "username") == [(1, "alice"), (2, "bob"), (5, "eve")]
+    # one after the other: alice's row is renamed first, then the name is free; of two rows with one name the first has it
+    rows = spark.createDataFrame([(1, "al", 1), (6, "alice", 2), (7, "zoe", 3), (8, "zoe", 4), (2, "bob", 5), (9, "bob", 6)], f"id long, username string, {ORDINAL} long")
+    stats = dml.upsert(store, rows, "users", ["id"])
+    assert stats.failed == 2 and values(store.read("users"), "id", "username") == [(1, "al"), (2, "bob"), (5, "eve"), (6, "alice"), (7, "zoe")]
+
+
+def test_upsert_by_any_unique_set(spark, store):
+    store.create("users", USERS, spark.createDataFrame([(1, "alice", "Paris"), (2, "bob", "London")], "id long, username string, city string"))
+    dml.upsert(store, [{"id": 4, "username": "alice", "city": "Oslo"}, {"id": 9, "username": "eve", "city": "Rome"}], "users", ["id"], dialect="mysql")
+    assert values(store.read("users")) == [(2, "bob", "London"), (4, "alice", "Oslo"), (9, "eve", "Rome")]  # all columns of the row that matched
+
+
+def test_columns_that_count_up(spark, store):
+    made = ddl.df_ddl(spark.createDataFrame([(1, "a")], "id long, name string"), "t", "postgres", ddl.Keys(("id",), autoincrement=("id", 100)))
+    store.create("t", ddl.table_schema(made))
+    dml.insert(store, [{"name": "x"}, {"name": "y"}], "t", order_by=["name"])
+    assert values(store.read("t")) == [(100, "x"), (101, "y")] and store.identity_columns("t") == ["id"]
+    dml.insert(store, spark.createDataFrame([(None, "z"), (500, "w")], "id long, name string"), "t")
+    dml.upsert(store, spark.createDataFrame([(100, "xx"), (None, "new")], "id long, name string"), "t", ["id"])
+    assert values(store.read("t")) == [(100, "xx"), (101, "y"), (500, "w"), (501, "z"), (502, "new")]
+
+
+def test_many_null_keys_meet_in_no_task(spark):
+    df = spark.range(200).select(F.lit(None).cast("long").alias("id"), F.col("id").cast("string").alias("username"), (F.col("id") + 1).alias(ORDINAL))
+    target = spark.createDataFrame([], "id long, username string, city string")
+    loose = TableSchema((ColumnSpec("id", Logical.INTEGER, "bigint"), *USERS.columns[1:]), USERS.constraints)
+    rows = dml.reasons(df, loose, target)
+    assert rows.where("size(__reasons) > 0").count() == 0
+    parts = df.withColumn("__reasons", F.array().cast("array<string>")).select(F.count("*").over(dml._good_by(df.withColumn("__reasons", F.array().cast("array<string>")), ("id",), ORDINAL)).alias("n"))
+    assert parts.agg(F.max("n")).first()[0] == 1
+
+
 def test_insert_isolates_rows(spark, store):
     store.create("users", USERS, spark.createDataFrame([(1, "alice", "Paris")], "id long, username string, city string"))
     rows = [(1, "dup", "x"), (2, "bob", "x"), (2, "again", "x"), (3, "much too long", "x"), (4, "bob", "x"), (5, "eve", "x")]
@@ -342,6 +469,8 @@ def test_ordinals(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as v")
     got = with_ordinal(df, ["v"])
     assert got.where(F.col(ORDINAL) != F.col("v") + 1).count() == 0 and got.count() == 1000
+    ties = spark.range(100).selectExpr("id % 3 as k", "100 - id as v").repartition(7)
+    assert with_ordinal(ties, ["k"]).withColumn("want", F.row_number().over(W.orderBy("k", "v"))).where(f"want != {ORDINAL}").count() == 0
 
 
 @settings(max_examples=5, deadline=None)
@@ -382,6 +511,8 @@ def test_ddl_helpers(spark, store):
         ddl.df_ddl(employees(spark), "emp", "oracle", ddl.Keys(("nope",)), sanitize=True)
     made = ddl.create_and_load(store, employees(spark), "emp", ["oracle", "db2"])
     assert [m.status for m in made] == ["created", "failed"] and store.count("emp") == 3
+    made = ddl.create_and_load(store, employees(spark), "all5", list(I.DIALECTS))
+    assert {m.status for m in made} == {"created"} and store.tables("all5") == ["all5"] and [m.sql for m in made] == [ddl.df_ddl(employees(spark), "all5", s, ddl.Keys(("user_id",)), sanitize=True).sql for s in I.DIALECTS]
     assert "user_id = Column(BigInteger, primary_key=True)" in ddl.model_source(employees(spark).schema, "emp", ddl.Keys(("user_id",)))
     assert ddl.add_column_sql("t", "c", ddl.added_type(employees(spark).schema["comment"].dataType, "mssql", 5000), "mssql") == "ALTER TABLE t ADD [c] VARCHAR(MAX)"
     assert ddl.frame_schema(employees(spark), "postgres").columns["hire_date"] == "TIMESTAMP"
@@ -397,6 +528,40 @@ def test_csv(spark, tmp_path):
     assert files.write_schema_json(spark, str(tmp_path), "oracle", "t", {"a": 1}).endswith("oracle_t_schema.json")
 
 
+def test_csv_create_and_load(spark, store, tmp_path):
+    (tmp_path / "in.csv").write_text("User ID,Amount\n" + "".join(f'{i},"${i},500"\n' for i in range(9)))
+    made = ddl.csv_create_and_load(store, str(tmp_path / "in.csv"), "pay", ["oracle", "postgres"], save_back=True, folder=str(tmp_path / "schema"))
+    assert [(m.status, m.rows) for m in made] == [("created", 9)] * 2 and store.primary_key("pay") == ("user_id",)
+    assert values(files.read_csv(spark, str(tmp_path / "in.csv")), "amount")[0] == ("1500",) or values(files.read_csv(spark, str(tmp_path / "in.csv")), "amount")[0] == ("500",)
+    assert sorted(p.name for p in (tmp_path / "schema").iterdir() if p.suffix == ".json") == ["oracle_pay_schema.json", "postgres_pay_schema.json"]
+    assert ddl.csv_create_and_load(store, str(tmp_path / "in.csv"), "pay2", ["oracle"], ddl.Keys(("nope",)))[0].status == "failed"
+
+
+def test_utc_times(spark):
+    raw = ["2023-01-02T03:04:05+02:00", "2023-01-02 03:04:05Z", "2023-01-02 03:04:05", "13/02/2023", "2023-01-02 03:04:05+0530", "x", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, t string")
+    d = dt.datetime
+    want = [d(2023, 1, 2, 1, 4, 5), d(2023, 1, 2, 3, 4, 5), d(2023, 1, 2, 3, 4, 5), d(2023, 2, 13), d(2023, 1, 1, 21, 34, 5), None, None]
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            c = coerce.timestamp(F.col("t"), df.schema["t"].dataType, utc=True)
+            assert [r[0] for r in df.orderBy("i").select(c.value).collect()] == want
+            instant = coerce.timestamp(F.col("t"), df.schema["t"].dataType, utc=True, naive=False)
+            assert dict(df.select(instant.value.alias("v")).dtypes)["v"] == "timestamp"
+            assert [r[0] for r in df.orderBy("i").select(F.to_utc_timestamp(instant.value, zone).cast("timestamp_ntz")).collect()] == want
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_missing_columns_may_be_allowed(spark):
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    with pytest.raises(ValueError):
+        predicate.where(df, ["x = 1", "gone = 3"])
+    assert predicate.where(df, ["x = 1", "gone = 3"], allow_missing=True).count() == 0
+    assert values(predicate.where(df, ["x = 1", "gone = 3"], "1 OR 2", allow_missing=True)) == [(1,)]
+
+
 def test_harness_and_cycle(spark, store):
     rows = [(i, f"u{i}", None if i in (4, 7) else i / 2, i % 2 == 0, dt.datetime(2024, 1, i), f"n{i}") for i in range(1, 11)]
     df = spark.createDataFrame(rows, "id long, username string, score double, active boolean, joined timestamp_ntz, note string")
