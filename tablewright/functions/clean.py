@@ -18,9 +18,9 @@ NULL_TOKENS = ("nan", "None", "NAT", "NAN", "null")
 #: Characters and what replaces them. Invisible ones, quotes, dashes, the ellipsis, then Cyrillic and Greek look-alikes.
 REPLACED = {
     # Blank or invisible characters.
-    "\u00a0": " ", "\u202f": " ", "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u180e": "",
+    "\u00a0": " ", "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u180e": "", "\u202f": " ",
     # Quotes.
-    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"', "\u2018": "'", "\u2019": "'", "\u201b": "'",
+    "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u201b": "'", "\u201e": '"', "\u201f": '"',
     # Dashes and the ellipsis.
     "\u2013": "-", "\u2014": "-", "\u2015": "-", "\u2026": "...",
     # Cyrillic look-alikes.
@@ -37,10 +37,12 @@ REPLACED = {
 
 @dataclass(frozen=True)
 class CleaningConfig:
-    """What cleaning does. ``replaced``: characters and what stands for them."""
+    """What cleaning does. ``replaced``: characters and what stands for them. ``all_controls``: columns lose all of Unicode category C
+    but line ends and tabs, as single values do, and not C0 and C1 alone."""
 
     normalize: bool = True
     strip_controls: bool = True
+    all_controls: bool = False
     remove_special: bool = False
     lower_headers: bool = True
     null_tokens: tuple[str, ...] = NULL_TOKENS
@@ -76,7 +78,9 @@ def clean_text(text: Column, config: CleaningConfig | None = None) -> Column:
     out = replace_characters(out, config.replaced)
     if config.normalize:
         out = nfkc(out)
-    if config.strip_controls:
+    if config.strip_controls and config.all_controls:
+        out = F.regexp_replace(out, r"[\p{C}&&[^\n\r\t]]", "")
+    elif config.strip_controls:
         out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
     if config.remove_special:
         out = F.regexp_replace(out, r"(?U)[^\w\s]", "")

@@ -11,17 +11,31 @@ MAX_CONSTRAINT_NAME = 30
 
 #: Words that each dialect reserves.
 RESERVED = {
-    "oracle": """SELECT INSERT DELETE UPDATE WHERE FROM GROUP ORDER BY CREATE TABLE INDEX VIEW PRIMARY KEY FOREIGN CONSTRAINT
-        NUMBER DATE UNION ALL DISTINCT JOIN INNER OUTER LEFT RIGHT ON USING HAVING LIMIT OFFSET ALTER DROP TRUNCATE USER LEVEL
-        ACCESS MODE""".split(),
-    "postgresql": """SELECT INSERT DELETE UPDATE WHERE FROM GROUP ORDER BY CREATE TABLE PRIMARY KEY FOREIGN CONSTRAINT REFERENCES
-        BIGINT INTEGER SMALLINT VARCHAR TIMESTAMP BOOLEAN NUMERIC DECIMAL REAL""".split(),
-    "mysql": """SELECT INSERT DELETE UPDATE WHERE FROM TABLE CREATE DROP ALTER PRIMARY KEY FOREIGN CONSTRAINT INT VARCHAR DATETIME
-        BIGINT SMALLINT AUTO_INCREMENT UNIQUE INDEX""".split(),
-    "mssql": """SELECT INSERT DELETE UPDATE WHERE FROM TABLE CREATE DROP ALTER PRIMARY KEY FOREIGN CONSTRAINT IDENTITY INT VARCHAR
-        DATETIME BIT FLOAT NUMERIC DECIMAL BIGINT SMALLINT""".split(),
-    "sqlite": "SELECT INSERT DELETE UPDATE WHERE FROM TABLE CREATE DROP ALTER CONSTRAINT PRIMARY KEY FOREIGN UNIQUE CHECK DEFAULT".split(),
-}
+    "oracle": (
+        "SELECT", "INSERT", "DELETE", "UPDATE", "WHERE", "FROM", "GROUP", "ORDER", "BY", "CREATE", "TABLE", "INDEX", "VIEW",
+        "PRIMARY", "KEY", "FOREIGN", "CONSTRAINT", "NUMBER", "DATE", "UNION", "ALL", "DISTINCT", "JOIN", "INNER", "OUTER",
+        "LEFT", "RIGHT", "ON", "USING", "HAVING", "LIMIT", "OFFSET", "ALTER", "DROP", "TRUNCATE", "USER", "LEVEL", "ACCESS",
+        "MODE",
+    ),
+    "postgresql": (
+        "SELECT", "INSERT", "DELETE", "UPDATE", "WHERE", "FROM", "GROUP", "ORDER", "BY", "CREATE", "TABLE", "PRIMARY", "KEY",
+        "FOREIGN", "CONSTRAINT", "REFERENCES", "BIGINT", "INTEGER", "SMALLINT", "VARCHAR", "TIMESTAMP", "BOOLEAN", "NUMERIC",
+        "DECIMAL", "REAL",
+    ),
+    "mysql": (
+        "SELECT", "INSERT", "DELETE", "UPDATE", "WHERE", "FROM", "TABLE", "CREATE", "DROP", "ALTER", "PRIMARY", "KEY",
+        "FOREIGN", "CONSTRAINT", "INT", "VARCHAR", "DATETIME", "BIGINT", "SMALLINT", "AUTO_INCREMENT", "UNIQUE", "INDEX",
+    ),
+    "mssql": (
+        "SELECT", "INSERT", "DELETE", "UPDATE", "WHERE", "FROM", "TABLE", "CREATE", "DROP", "ALTER", "PRIMARY", "KEY",
+        "FOREIGN", "CONSTRAINT", "IDENTITY", "INT", "VARCHAR", "DATETIME", "BIT", "FLOAT", "NUMERIC", "DECIMAL", "BIGINT",
+        "SMALLINT",
+    ),
+    "sqlite": (
+        "SELECT", "INSERT", "DELETE", "UPDATE", "WHERE", "FROM", "TABLE", "CREATE", "DROP", "ALTER", "CONSTRAINT", "PRIMARY",
+        "KEY", "FOREIGN", "UNIQUE", "CHECK", "DEFAULT",
+    ),
+}
 
 
 def dialect_of(server: str) -> str:

@@ -400,7 +400,8 @@ def clean_na_tokens(spark, sf_dir):
     return df.select("event_id", clean_text(F.col("t"), CleaningConfig(normalize=False)).alias("t"))
 
 
-@query()
+#: The documents hold no characters of compatibility forms, so NFC does for them; quick_clean_forms has some.
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(translate(text, 'АВЕКМНОРСТХ“”–', 'ABEKMHOPCTX""-')), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g') AS full_text FROM documents""")
 def clean_nfkc(spark, sf_dir):
     return quick_clean(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Doc ID"), F.col("text").alias("Full Text")))
 

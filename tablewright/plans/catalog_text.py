@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import identifiers as I
 from ..functions import parse
-from ..functions.clean import CleaningConfig, clean_value, quick_clean, robust_clean
+from ..functions.clean import CleaningConfig, clean_text, clean_value, quick_clean, robust_clean
 from ..functions.types import REGISTRY, ColumnSpec, Constraints, Logical, TableSchema, schema_of
 from ..operators import cast, coerce, correct, mapping, outliers, predicate, profile, validate
 from ..sources import files
@@ -94,6 +94,13 @@ def clean_values(spark, sf_dir):
     return answers(spark, [(k, clean_value(v), clean_value(v, CleaningConfig(remove_special=True))) for k, v in VALUES], "what string, answer string, bare string")
 
 
+@query(fixed("what, answer", [(k, {"nbsp": "a b", "zero width": "ab", "bom": "x", "quotes": '"q"', "dash": "-", "dots": "...", "ligature": "fi", "wide": "12", "cyrillic": "A", "tab": "a\tb", "none": None}.get(k, "ab")) for k, _ in VALUES]))
+def clean_value_column(spark, sf_dir):
+    """What single values become, as an expression."""
+    df = answers(spark, VALUES)
+    return df.select("what", clean_text(F.col("answer"), CleaningConfig(all_controls=True)).alias("answer"))
+
+
 @query("SELECT c_custkey AS customer_key, trim(c_name) AS full_name, c_acctbal AS col_2 FROM customer")
 def robust_clean_frame(spark, sf_dir):
     df = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Customer  Key"), F.concat(F.lit("\u00a0 "), F.col("c_name"), F.lit("\u200b\u2003")).alias(" Full-Name"), F.col("c_acctbal").alias("!"))
