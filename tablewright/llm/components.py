@@ -1,4 +1,10 @@
-"""Connected components by alternating stars, on links that never leave the executors."""
+"""Connected components by alternating stars, on links that never leave the executors.
+
+Links are pairs of numbers. Repeated links, links in both directions and links of a node with itself change nothing; a null end, or a
+node without links, is in no row of the result. Ties can't arise, as a component's label is its smallest number. No links give no rows; columns
+beside a and b are not read. Texts are not involved. A node with very many links is one key of a join here; its rows are two numbers each,
+and adaptive execution splits them once they are a partition of note.
+"""
 
 from __future__ import annotations
 

@@ -16,8 +16,10 @@ of the id) hold about CHUNK rows at most where ids differ; their counts are summ
 group gives the place there. Hot sources and hot sizes are thus split.
 
 Null texts have 0 words. A source without words has target 0 and nothing is taken. Null ids are in the
-first hash group. Rows are kept one to one; rows that repeat an id are documents of their own. Other
-columns are not read. An empty table gives no rows. The same rows give the same result in any order.
+first hash group. Rows are kept one to one; rows that repeat an id are documents of their own, and of rows that tie in
+size and id, none differs from another. A very long text is its number of words from the first pass on; a source's words may miss its target by
+about its longest text. Other columns are not read, so their names can't clash. An empty table gives no rows. The same rows give the
+same result in any order.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ The gear hash of a whole text is computed in five doubling steps on arrays: the
 over k bytes plus that of the k bytes before, shifted.
 
 Null and empty texts have no chunks. Chunks of white space alone are never repeats. Null ids come first in the
-order and are kept. Rows that repeat both id and text are one document, with the same result. Other columns pass
-through whatever their names. Empty tables give no rows.
+order and are kept; ties in the id go by the hash of the text. Rows that repeat both id and text are one document, with the same
+result. Other columns pass through whatever their names. Empty tables give no rows.
 
 A very long text is chunked whole, by one row of a task; its chunks are one row each from there on.
 Digests are counted before they meet rows, and meet them by ``join_counted``: a passage that a third of all documents share
