@@ -82,39 +82,32 @@ def sample(df: DataFrame, percent: float = 5, order_by: str | None = None, filte
     """Head and tail, ``percent`` of the rows together, without repeated rows. The order is that of ``order_by``, then of all columns.
 
     A sketch gives values that cut off slightly more than each end, so only rows near the ends are sorted; they are numbered by ranges, in many
-    tasks. Where the first column of the order is no number or time, or may hold NaN, all rows are numbered."""
+    tasks. Where the first column of the order is no number or time, or may hold nulls or NaN, all rows are numbered."""
+    from .ordinals import ORDINAL, with_ordinal
+
     if not 0 < percent <= 100:
         raise ValueError("percent must be over 0 and at most 100")
     complete = ~_any_absent(df) if filter_none else F.lit(True)
-    total, filtered = df.agg(F.count(F.lit(1)), F.count_if(complete)).first()
+    keys = [order_by, *(c for c in df.columns if c != order_by)] if order_by else df.columns
+    kind, first, share = df.schema[keys[0]].dataType, col(keys[0]), percent / 200 + 2 / SKETCH
+    sketched = isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)) and share < 0.5
+    near = F.when(complete, first)
+    cuts = [F.approx_percentile(near, at, SKETCH) if sketched else F.lit(None) for at in (min(1.0, share), max(0.0, 1 - share))]
+    total, filtered, gaps, low, high = df.agg(F.count(F.lit(1)), F.count_if(complete), F.count_if(complete & absent(df, keys[0])), *cuts).first()
     if not total:
         raise ValueError("the table is empty")
     warning = f"{total - filtered} of {total} rows hold nulls and were left out" if filtered < 0.8 * total else None
     if warning:
         warnings.warn(warning, stacklevel=2)
-    rows = df.where(complete)
-    n = max(1, int(filtered * percent / 200))
-    keys = [order_by, *(c for c in df.columns if c != order_by)] if order_by else df.columns
-    ends = _end(rows, keys, n, filtered, filter_none, False).unionByName(_end(rows, keys, n, filtered, filter_none, True)).distinct()
+    rows, n = df.where(complete), max(1, int(filtered * percent / 200))
+    if low is not None and not gaps and filtered >= SKETCH:
+        rows = rows.where((first <= F.lit(low).cast(kind)) | (first >= F.lit(high).cast(kind)))
+    placed = with_ordinal(rows, keys)
+    last = placed.agg(F.max(ORDINAL)).first()[0] or 0
+    ends = placed.where((F.col(ORDINAL) <= n) | (F.col(ORDINAL) > last - n)).drop(ORDINAL).distinct()
     return Sample(ends, total, filtered, n, round(100 * (1 - filtered / total), 2) if filter_none and not filtered else 0.0, warning)
 
 
-def _end(rows: DataFrame, keys: list[str], n: int, total: int, complete: bool, tail: bool) -> DataFrame:
-    """The first or last ``n`` of ``total`` rows in order of ``keys``, nulls first."""
-    from .ordinals import ORDINAL, with_ordinal
-
-    kind, first = rows.schema[keys[0]].dataType, col(keys[0])
-    near = rows
-    if isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) or complete and isinstance(kind, (T.FloatType, T.DoubleType)):
-        share = min(1.0, n / max(1, total) + 2 / SKETCH)
-        cut = rows.agg(F.approx_percentile(first, 1 - share if tail else share, SKETCH)).first()[0]
-        if cut is not None and not rows.where(first.isNull()).limit(1).count():
-            near = rows.where(first >= F.lit(cut).cast(kind) if tail else first <= F.lit(cut).cast(kind))
-    placed = with_ordinal(near, keys)
-    past = placed.agg(F.max(ORDINAL)).first()[0] or 0
-    return placed.where(F.col(ORDINAL) > past - n if tail else F.col(ORDINAL) <= n).drop(ORDINAL)
-
-
 def _any_absent(df: DataFrame) -> Column:
     out = F.lit(False)
     for c in df.columns:
@@ -155,12 +148,10 @@ def is_key(df: DataFrame, columns: list[str]) -> bool:
 
 def key_profile(df: DataFrame, threshold: float) -> DataFrame:
     """A profile for ``infer_key``: distinct values by sketches, and exactly where these are near the threshold or over it."""
-    rough = profile(df, approximate=True)
-    high = [r["column"] for r in rough.collect() if r["non_null_count"] and r["distinct_count"] >= (1 - SURE * ERROR) * threshold * r["non_null_count"]]  # a row for each column
-    if not high:
-        return rough
-    exact = profile(df.select(*(col(c) for c in high)))
-    return rough.where(~F.col("column").isin(*high)).withColumn("is_unique", F.lit(False)).unionByName(exact)
+    rough = {r["column"]: r for r in profile(df, approximate=True).collect()}  # a row for each column
+    high = [c for c, r in rough.items() if r["non_null_count"] and r["distinct_count"] >= (1 - SURE * ERROR) * threshold * r["non_null_count"]]
+    low = df.sparkSession.createDataFrame([r.asDict() | {"is_unique": False} for c, r in rough.items() if c not in high], PROFILE)
+    return low.unionByName(profile(df.select(*(col(c) for c in high)))) if high else low
 
 
 def infer_key(df: DataFrame, found: DataFrame | None = None, threshold: float = 0.8, most: int = 5) -> KeyChoice:
