@@ -53,8 +53,8 @@ class Scratch:
         fs.delete(path, True)
 
 
-#: A key that has more than this share of all rows is hot. As shares sum up to 1, there are fewer than HOT_KEYS hot ones, whatever the rows.
-HOT_KEYS = 1000
+#: A key that has more than one in HOT_KEYS of all rows, and over HOT_ROWS, is hot. As shares sum up to 1, there are fewer than HOT_KEYS hot ones, whatever the rows.
+HOT_KEYS, HOT_ROWS = 1000, 1000
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
@@ -62,9 +62,10 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: st
     broadcast, at most HOT_KEYS of them, so their rows stay where they are; no other key has a share of note. Both are read
     more than once, so they should be tables."""
     total, most = counted.agg(F.sum(count), F.max(count)).first()
-    if not total or most * HOT_KEYS <= total:
+    line = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if not total or most <= line:
         return rows.join(counted, keys)
-    is_hot = F.col(count) * HOT_KEYS > F.lit(total)
+    is_hot = F.col(count) > line
     hot, cold = counted.where(is_hot), counted.where(~is_hot)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
