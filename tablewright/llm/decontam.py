@@ -51,6 +51,8 @@ SALTS = 16
 STEP = 10_000
 #: On bytes, lower() changes A-Z alone, and every byte of a non-ASCII character is 0x80 or more.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Every byte that is in no word as a blank, so that the words are what is between blanks.
+BLANKED = bytes(b if WORD.match(bytes([b])) else 32 for b in range(256))
 WINDOWS = "item long, token long, at int, size int, wide int, words string"
 PLACES = "doc_id long, d long, t long, n_words long, place array<int>, token array<long>, first array<int>, around array<string>"
 KEY = ["d", "t"]
@@ -62,8 +64,13 @@ def joined(words: list[bytes]) -> str:
     return b" ".join(w if len(w) <= LONG else b"\0" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words).decode("utf-8", "surrogatepass")
 
 
+def split_words(raw: bytes) -> list[bytes]:
+    """The matches of WORD in lower-cased bytes."""
+    return raw.translate(BLANKED).split()
+
+
 def hasher_of(memo: dict[bytes, int]) -> S.WordHasher:
-    return S.WordHasher(memo, WORD.findall)
+    return S.WordHasher(memo, split_words)
 
 
 def prefixes(words: np.ndarray, counts: np.ndarray, window: int, width: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -185,8 +192,8 @@ def meet(rows: DataFrame, few: DataFrame, key: str, n: int, spread: list[str]) -
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, width: int = SHINGLE) -> DataFrame:
     """One row per document: its words, the words inside an occurring window, and the items that these belong to."""
-    own = S.word_counts(benchmark, WORD.findall) > 0
-    windows = scratch.save(windows_of(benchmark, S.word_counts(docs, WORD.findall, own), window, width))
+    own = S.word_counts(benchmark, split_words) > 0
+    windows = scratch.save(windows_of(benchmark, S.word_counts(docs, split_words, own), window, width))
     distinct = scratch.save(windows.drop("item").distinct())
     owners = scratch.save(windows.select("words", "item").distinct())
     n, m = distinct.count(), owners.count()

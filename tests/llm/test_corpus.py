@@ -164,6 +164,13 @@ def test_decontamination(spark, broadcast, bits, monkeypatch):
         assert decontam.contamination(docs, bench.limit(0), Scratch(spark, "test")).where("contaminated").count() == 0
 
 
+def test_words_are_those_of_the_pattern():
+    rnd = random.Random(8)
+    for _ in range(500):
+        text = "".join(rnd.choice("abZ09 \t\n\x00\x1f\x7f\x85\xa0é漢😀`{[@:/") for _ in range(30))
+        assert [w.decode() for w in decontam.hasher_of({}).words(text)] == ITEM_WORD.findall(text.translate(UPPER))
+
+
 def test_prefix_is_the_rarest_shingle():
     words = S.WordHasher().hashes("a b c d e f g h i j k")
     counts = np.zeros(S.SKETCH, np.int64)
