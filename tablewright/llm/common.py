@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether the shuffle files of a query go when it ends, instead of when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within delete their shuffle files at their end. For those whose result is kept elsewhere and that don't run again."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder so that lost executors cost no recomputation. Results are lazy and
     read them, so they go when the application ends, or by ``drop`` and ``clear`` before."""
@@ -36,7 +52,8 @@ class Scratch:
         """Write ``df`` and return a reader of what was written; lineage ends there."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

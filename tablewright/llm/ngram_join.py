@@ -24,6 +24,8 @@ or more, is common. The join runs as follows.
    shingle hashes, which only documents with a shared prefix shingle have computed. Two shingles that share a
    hash count as one: links are exact up to that.
 
+Tables of prefixes, signatures and whole sets go as soon as no later step reads them.
+
 What is returned is membership: the component of each document, and the verified links, which span each
 component of the full link graph.
 
@@ -122,7 +124,9 @@ def postings_of(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(token, rid, n, pos, cnt): prefix shingles that several nodes have."""
     each = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = scratch.save(each.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-    return join_counted(each, shared, ["token"], "cnt")
+    found = scratch.save(join_counted(each, shared, ["token"], "cnt"))
+    scratch.drop(shared)
+    return found
 
 
 def passes(percent: int, x: str = "x", y: str = "y") -> Column:
@@ -241,7 +245,9 @@ def labelled(postings: DataFrame, groups: DataFrame | None, scratch: Scratch) ->
     lists = own.groupBy("token").agg(F.sum("k").alias("cnt"), F.max(F.struct("k", "c")).alias("largest"), F.count("*").alias("several")).where("several > 1")
     lists = scratch.save(lists.select("token", "cnt", F.col("largest.c").alias("largest"), F.col("largest.k").alias("k_major")))
     found = join_counted(known, lists, ["token"], "cnt")
-    return found.withColumn("major", F.col("c") == F.col("largest")).drop("largest")
+    found = scratch.save(found.withColumn("major", F.col("c") == F.col("largest")).drop("largest"))
+    scratch.drop(lists)
+    return found
 
 
 def pairs_left(postings: DataFrame) -> int:
@@ -259,35 +265,43 @@ def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = P
     own = sets.where(F.size("prefix") > 0).select("doc_id", "t", "n", "prefix", "brief", "signature")
     reps = own.join(smallest.select("doc_id", "t", "n", "rid"), ["doc_id", "t", "n"]).dropDuplicates(["rid"])
     reps = scratch.save(reps.select("rid", F.col("doc_id").alias("d"), "t", "n", "prefix", "brief", "signature"))
-    postings = scratch.save(postings_of(reps, scratch))
+    # Prefixes and signatures are most of a table: what is read later is kept without them.
+    rows = scratch.save(sets.select("doc_id", "t", *key))
+    scratch.drop(sets)
+    postings = postings_of(reps, scratch)
     size = postings.count()
     ids = scratch.save(postings.select("rid").distinct())
     members = scratch.save(reps.select("rid", "d", "t", "n", "brief", "signature").join(ids, "rid", "left_semi"))
+    scratch.drop(reps, ids)
     grams = scratch.save(full_sets(docs, members.select("d", "t", "rid"), width))
-    members = members.drop("d", "t")
 
     links: DataFrame | None = None
     groups: DataFrame | None = None
     done: DataFrame | None = None
-    open_lists = scratch.save(labelled(postings, None, scratch))
+    open_lists = labelled(postings, None, scratch)
+    spent = [postings, grams, members]
     left = pairs_left(open_lists)
     before = left / SHRINK
     for turn in range(ROUNDS + 1):
         if not left:
+            scratch.drop(open_lists)
             break
         last = left <= ENOUGH * size or left > SHRINK * before or turn == ROUNDS
         pairs = remaining_pairs(open_lists, members, percent) if last else neighbour_pairs(open_lists, members, turn, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
+        scratch.drop(open_lists)
+        spent.append(pairs)
         found = scratch.save(verified(pairs, grams, percent))
         links = found if links is None else links.unionByName(found)
         groups = scratch.save(components(links, scratch))
         if last:
             break
         done = pairs if done is None else done.unionByName(pairs)
-        open_lists = scratch.save(labelled(postings, groups, scratch))
+        open_lists = labelled(postings, groups, scratch)
         before, left = left, pairs_left(open_lists)
+    scratch.drop(*spent)
 
     known = smallest.select(*key, "rows", "rid", F.col("doc_id").alias("least"))
     if groups is not None:
@@ -297,12 +311,12 @@ def join(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = P
     else:
         known = known.withColumn("component_id", F.col("least"))
     known = scratch.save(known.select(*key, "component_id", "rows"))
-    whole = sets.where("doc_id is not null and n > 0").select("doc_id", "t", *key)
+    whole = rows.where("doc_id is not null and n > 0").select("doc_id", "t", *key)
     mine = join_counted(whole, known, key, "rows").select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = sets.where("doc_id is null or n = 0").select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = rows.where("doc_id is null or n = 0").select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if links is None:
         return mine.unionByName(alone), pairs_none(docs.sparkSession)
-    named = reps.select("rid", "d")
+    named = smallest.select("rid", F.col("doc_id").alias("d"))
     a, b = named.toDF("a", "id_a"), named.toDF("b", "id_b")
     return mine.unionByName(alone), links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
@@ -314,8 +328,10 @@ def pairs_none(spark: SparkSession) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but the smallest (doc_id, t) of each component.
     Rows without shingles and rows of a null id stay. Of rows that repeat id and text one stays."""
-    rows = join(docs, scratch, width, percent)[0].where("n_shingles > 0 and doc_id is not null")
+    own = Scratch(scratch.spark, "keep-one")
+    rows = join(docs, own, width, percent)[0].where("n_shingles > 0 and doc_id is not null")
     rows = scratch.save(rows.select(F.col("doc_id").alias("d"), "t", "component_id"))
+    own.clear()
     kept = scratch.save(rows.groupBy("component_id").agg(F.min(F.struct("d", "t")).alias("kept"), F.count("*").alias("n")))
     dropped = join_counted(rows, kept, ["component_id"]).where(F.struct("d", "t") != F.col("kept")).select("d", "t").distinct()
     left = without(docs, dropped)

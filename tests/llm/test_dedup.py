@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import line_dedup, ngram_join, shingles, substring_dedup
-from tablewright.llm.common import NO_ID, Scratch, join_counted
+from tablewright.llm.common import FREED, NO_ID, Scratch, join_counted
 from tablewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +127,32 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.keep_one(docs.limit(0), Scratch(spark, "test")).columns == docs.columns
 
 
+def test_ngram_join_leaves_no_large_tables(spark):
+    """Prefixes, signatures and whole sets go once they are used; membership, links and kept rows don't need them."""
+    docs, shared = spark.createDataFrame(near_copies(2), "doc_id long, text string"), Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    membership, links = ngram_join.join(docs, Scratch(spark, "test"))
+    kept = ngram_join.keep_one(docs, Scratch(spark, "test"))
+    columns = {c for f in set(shared.rglob("*.parquet")) - before for c in pq.read_schema(f).names}
+    assert columns and not columns & {"prefix", "brief", "signature", "grams", "token"}
+    assert membership.count() == docs.count() and links.count() > 0
+    assert kept.count() == membership.select("component_id").distinct().count() < docs.count()
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in files.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    rows = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    saved = Scratch(spark, "test").save(rows)
+    for _ in range(50):  # files go in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and saved.count() == rows.count() == 7
+    assert spark.conf.get(FREED) == "false"
+
+
 def test_ngram_join_ids_of_several_texts(spark):
     """Texts that share an id don't link what they don't match."""
     one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
