@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 LATIN_END, CYRILLIC_END = "ɐ", "԰"
@@ -114,11 +112,16 @@ def encoders(paths: dict[str, str]) -> list[tuple[Callable[[str], list[int]], np
 
 def fertility(text: str, ids: list[int], partial: np.ndarray) -> tuple[int, float, float, float]:
     """Tokens, characters per token, byte-fallback share, token entropy in bits."""
-    if not ids:
+    n = len(ids)
+    if not n:
         return 0, 0.0, 0.0, 0.0
-    count = np.bincount(ids)
-    count = count[count > 0] / len(ids)
-    return len(ids), len(text) / len(ids), float(partial[ids].mean()), float(-(count * np.log2(count)).sum())
+    # sorted ids, not a count for each id of the vocabulary: most texts are far shorter than that
+    tokens = np.fromiter(ids, np.int32, n)
+    tokens.sort()
+    first = np.append(0, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1)
+    count = np.diff(first, append=n)
+    share = count / n
+    return n, len(text) / n, float(count[partial[tokens[first]]].sum() / n), float(-(share * np.log2(share)).sum())
 
 
 def script(text: str) -> str:
@@ -129,23 +132,35 @@ def script(text: str) -> str:
     return max((latin, "latin"), (cyrillic, "cyrillic"), (len(letters) - latin - cyrillic, "other"))[1]
 
 
+def repeat_words(words: list[bytes]) -> int:
+    """Words in 3-word windows that are found twice or more."""
+    code = {w: i for i, w in enumerate(set(words))}
+    if len(words) < 4 or len(code) == len(words):
+        return 0
+    ids, size = np.fromiter(map(code.__getitem__, words), np.int64, len(words)), len(code)
+    pairs = ids[:-2] * size + ids[1:-1]
+    if size >= 1 << 21:  # else three numbers fit one of 63 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs * size + ids[2:]
+    order = np.sort(windows)
+    again = order[1:][order[1:] == order[:-1]]
+    if not len(again):
+        return 0
+    found, hit = np.isin(windows, again), np.zeros(len(words), bool)
+    for i in range(3):
+        hit[i : i + len(found)] |= found
+    return int(hit.sum())
+
+
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
     """Words, their characters, symbols, repeated lines, words in repeated 3-word windows."""
-    words = WORD.findall(text)
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at BLANK alone
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line.strip(BLANK):
             dup += line in seen
             seen.add(line)
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    count, repeated = Counter(windows), 0
-    if len(count) < len(windows):
-        hit = bytearray(len(words))
-        for i, w in enumerate(windows):
-            if count[w] > 1:
-                hit[i : i + 3] = b"\1\1\1"
-        repeated = sum(hit)
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated
+    return len(words), len(text) - sum(map(text.count, BLANK)), sum(map(text.count, SYMBOLS)), dup, repeat_words(words)
 
 
 MEASURES = [f"{k}_{m}" for k in VOCABULARIES for m in ("tokens", "chars_per_token", "fallback_share", "token_entropy")]
